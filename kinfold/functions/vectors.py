@@ -28,10 +28,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def term_counts(terms: Column) -> Column:
-    """Struct ``(terms, multi, norm2)`` of a list of 64-bit terms with repeats.
+    """Struct ``(terms, counts, norm2)`` of a list of 64-bit terms with repeats.
 
-    ``terms`` are the distinct terms, ``multi`` maps those occurring more than once to their count,
-    ``norm2`` is the squared length. One sort per row and no shuffle.
+    ``terms`` are the distinct terms in order, ``counts`` how often each occurs, ``norm2`` the squared
+    length. One sort per row and no shuffle.
     """
 
     def encode(ordered: Column) -> Column:
@@ -40,31 +40,28 @@ def term_counts(terms: Column) -> Column:
             F.sequence(F.lit(0), size - 1),
             lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)),
         )
-        return bind(
+        lengths = bind(
             starts,
-            lambda s: bind(
-                F.zip_with(
-                    s,
-                    F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(size)),
-                    lambda a, b: F.struct(
-                        F.get(ordered, a).alias("term"), (b - a).alias("n")
-                    ),
-                ),
-                lambda runs: F.struct(
-                    F.transform(runs, lambda r: r["term"]).alias("terms"),
-                    F.map_from_entries(F.filter(runs, lambda r: r["n"] > 1)).alias("multi"),
-                    F.aggregate(
-                        runs,
-                        F.lit(0).cast("long"),
-                        lambda total, r: total + r["n"].cast("long") * r["n"].cast("long"),
-                    ).alias("norm2"),
-                ),
+            lambda s: F.zip_with(
+                s,
+                F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(size)),
+                lambda start, end: end - start,
+            ),
+        )
+        return bind(
+            lengths,
+            lambda n: F.struct(
+                F.array_distinct(ordered).alias("terms"),
+                n.alias("counts"),
+                F.aggregate(
+                    n, F.lit(0).cast("long"), lambda total, x: total + x.cast("long") * x.cast("long")
+                ).alias("norm2"),
             ),
         )
 
     empty = F.struct(
         F.expr("cast(array() as array<bigint>)").alias("terms"),
-        F.expr("cast(map() as map<bigint,int>)").alias("multi"),
+        F.expr("cast(array() as array<int>)").alias("counts"),
         F.lit(0).cast("long").alias("norm2"),
     )
     return bind(
@@ -83,10 +80,19 @@ def word_digest(text: Column) -> Column:
     return F.sha2(F.array_join(words(text), " "), 256)
 
 
+def repeated_terms(vec: Column) -> Column:
+    """Map of the terms that occur more than once to their count (null when there is none)."""
+    runs = F.filter(
+        F.arrays_zip(vec["terms"].alias("terms"), vec["counts"].alias("counts")),
+        lambda r: r["counts"] > 1,
+    )
+    return F.map_from_entries(runs)
+
+
 def sparse_dot(a_terms: Column, a_multi: Column, b_terms: Column, b_multi: Column) -> Column:
-    """Dot product of two term-count vectors.
+    """Dot product of two term-count vectors, each given by its terms and ``repeated_terms``.
 
-    The common terms count once each; only those repeated on a side need their counts.
+    Common terms count once each; only those repeated on a side need their counts.
     """
     repeated = F.array_intersect(
         F.array_intersect(F.array_union(F.map_keys(a_multi), F.map_keys(b_multi)), a_terms), b_terms
@@ -102,10 +108,17 @@ def sparse_dot(a_terms: Column, a_multi: Column, b_terms: Column, b_multi: Colum
     return F.size(F.array_intersect(a_terms, b_terms)).cast("long") + extra
 
 
-def sparse_cosine(a: str, b: str) -> Column:
-    """Cosine of the vector structs in columns ``a`` and ``b``; 0 for an empty vector."""
-    product = sparse_dot(
-        F.col(f"{a}.terms"), F.col(f"{a}.multi"), F.col(f"{b}.terms"), F.col(f"{b}.multi")
+def sparse_side(vec: Column) -> Column:
+    """What ``sparse_cosine`` needs of a vector, worked out once per row before a pair join."""
+    return F.struct(
+        vec["terms"].alias("terms"),
+        repeated_terms(vec).alias("multi"),
+        F.sqrt(vec["norm2"].cast("double")).alias("length"),
     )
-    length = F.sqrt(F.col(f"{a}.norm2").cast("double")) * F.sqrt(F.col(f"{b}.norm2").cast("double"))
+
+
+def sparse_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two ``sparse_side`` structs; 0 when a vector is empty."""
+    product = sparse_dot(a["terms"], a["multi"], b["terms"], b["multi"])
+    length = a["length"] * b["length"]
     return F.when(length > 0, product / length).otherwise(F.lit(0.0))

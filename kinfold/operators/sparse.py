@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.functions.vectors import bigram_vector, sparse_cosine, word_digest
+from kinfold.functions.vectors import bigram_vector, sparse_cosine, sparse_side, word_digest
 from kinfold.operators.buckets import CHUNK, bucket_pairs, crossing_pairs, leader_pairs
 from kinfold.operators.components import connected_components
 from kinfold.sources.worktable import materialize, spread
@@ -56,15 +56,11 @@ def prefix_postings(vectors: DataFrame, threshold: float) -> DataFrame:
     """
     postings = vectors.select(
         "row_id",
-        F.explode("vec.terms").alias("term"),
-        F.col("vec.multi").alias("multi"),
         F.col("vec.norm2").alias("norm2"),
-    ).select(
-        "row_id",
-        "term",
-        "norm2",
-        F.coalesce(F.element_at("multi", F.col("term")), F.lit(1)).cast("long").alias("n"),
-    )
+        F.inline(
+            F.arrays_zip(F.col("vec.terms").alias("term"), F.col("vec.counts").alias("n"))
+        ),
+    ).withColumn("n", F.col("n").cast("long"))
     shared = (
         vectors.select(F.explode("vec.terms").alias("term"))
         .groupBy("term")
@@ -90,9 +86,11 @@ def _in_reach(threshold: float):
 
 def score_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Exact cosine ``score`` of the pairs ``(i, j)``."""
-    a = vectors.select(F.col("row_id").alias("i"), F.col("vec").alias("_a"))
-    b = vectors.select(F.col("row_id").alias("j"), F.col("vec").alias("_b"))
-    return pairs.join(a, "i").join(b, "j").select("i", "j", sparse_cosine("_a", "_b").alias("score"))
+    side = sparse_side(F.col("vec"))
+    a = vectors.select(F.col("row_id").alias("i"), side.alias("_a"))
+    b = vectors.select(F.col("row_id").alias("j"), side.alias("_b"))
+    score = sparse_cosine(F.col("_a"), F.col("_b"))
+    return pairs.join(a, "i").join(b, "j").select("i", "j", score.alias("score"))
 
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.8, chunk: int = CHUNK) -> DataFrame:
