@@ -134,3 +134,27 @@ def similar_groups(
     return connected_components(edges.unionByName(copies)).select(
         F.col("component").alias("group_id"), F.col("node").alias("member_id")
     )
+
+
+def minhash_postings(vectors: DataFrame, bands: int = 16, rows: int = 2) -> DataFrame:
+    """``(term, row_id)``: one bucket per band of minimum hashes over the terms (Broder 1997)."""
+
+    def lowest(seed: int):
+        return F.array_min(F.transform("vec.terms", lambda t: F.xxhash64(t, F.lit(seed))))
+
+    keys = [
+        F.xxhash64(F.lit(band), *[lowest(band * rows + r) for r in range(rows)])
+        for band in range(bands)
+    ]
+    present = vectors.where(F.size("vec.terms") > 0)
+    return present.select("row_id", F.explode(F.array(*keys)).alias("term"))
+
+
+def hashed_pairs(
+    vectors: DataFrame, threshold: float = 0.8, bands: int = 16, rows: int = 2, chunk: int = CHUNK
+) -> DataFrame:
+    """Approximate ``similar_pairs``: rows sharing a MinHash band, scores exact, some pairs missed."""
+    postings = materialize(minhash_postings(vectors, bands, rows), "postings")
+    sizes = postings.groupBy("term").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    candidates = bucket_pairs(postings.join(sizes, "term"), chunk=chunk)
+    return score_pairs(candidates, vectors).where(F.col("score") > threshold)
