@@ -1 +1,8 @@
 """kinfold: entity resolution and its evaluation as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel with their code, so executors need no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,14 +2,69 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.sources.worktable import discard, materialize
 
 MAX_ROUNDS = 60
+LOCAL_EDGES = 1_000_000
+
+
+def smallest_reachable(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Lower each label to the smallest one reachable over the links ``left - right``."""
+    while True:
+        low = label.copy()
+        np.minimum.at(low, left, label[right])
+        np.minimum.at(low, right, low[left])
+        low = low[low]
+        if np.array_equal(low, label):
+            return label
+        label = low
+
+
+def _local_stars(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Shrink each partition's edges to one edge per node, to the smallest node it reaches there.
+
+    Works like a map-side combine: at most ``LOCAL_EDGES`` edges are held at a time, and what they
+    connect stays connected.
+    """
+
+    def contract(table: pa.Table) -> pa.RecordBatch:
+        u, v = (table.column(c).to_numpy() for c in ("u", "v"))
+        nodes, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+        graph = np.zeros(len(u), dtype=np.int64)
+        for k in keys:
+            values, key_code = np.unique(table.column(k).to_numpy(), return_inverse=True)
+            graph = graph * len(values) + key_code
+        graphs, graph = np.unique(graph, return_inverse=True)
+        place = np.concatenate([graph, graph]) * len(nodes) + code
+        spots, first, spot = np.unique(place, return_index=True, return_inverse=True)
+        left, right = spot[: len(u)], spot[len(u) :]
+        root = smallest_reachable(np.arange(len(spots)), left, right)
+        leaf = root != np.arange(len(spots))
+        row = pa.array(first[leaf] % len(u))
+        ends = {k: table.column(k).combine_chunks().take(row) for k in keys}
+        ends["u"] = pa.array(nodes[spots[leaf] % len(nodes)], type=table.schema.field("u").type)
+        ends["v"] = pa.array(nodes[spots[root[leaf]] % len(nodes)], type=table.schema.field("v").type)
+        return pa.RecordBatch.from_arrays(list(ends.values()), names=list(ends))
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= LOCAL_EDGES:
+                yield contract(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield contract(pa.Table.from_batches(held))
+
+    return edges.mapInArrow(stars, edges.schema)
 
 
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -60,8 +115,9 @@ def connected_components(
 ) -> DataFrame:
     """``(*keys, node, component)`` for every node with an edge; the component is its smallest node.
 
-    ``keys`` partition the edges into independent graphs that are solved in the same rounds. Each
-    round is written to the shared work folder, so lineage stays flat; hubs are handled by
+    ``keys`` partition the edges into independent graphs that are solved in the same rounds. Edges are
+    first shrunk within their partitions; then large-star and small-star joins alternate until every
+    component is a star. Each round is written to the shared work folder, so lineage stays flat; hubs are handled by
     map-side ``min`` and adaptive skew joins, never by collecting neighbours.
     """
     keys = list(keys)
@@ -72,11 +128,14 @@ def connected_components(
         .where(F.col("u") != F.col("v"))
         .distinct()
     )
-    current = materialize(_small_star(_large_star(materialize(oriented, "edges"), keys), keys), "stars")
+    current = materialize(
+        _local_stars(_local_stars(oriented, keys).distinct(), keys).distinct(), "stars"
+    )
     for _ in range(max_rounds):
         if _all_stars(current, keys):
             break
-        advanced = materialize(_small_star(_large_star(current, keys), keys), "stars")
+        joined = _small_star(_large_star(current, keys), keys)
+        advanced = materialize(_local_stars(joined, keys).distinct(), "stars")
         discard(current)
         current = advanced
     else:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.vectors import cosine
 from kinfold.operators.buckets import CHUNK, bucket_pairs
-from kinfold.operators.components import connected_components
+from kinfold.operators.components import connected_components, smallest_reachable
 from kinfold.sources.worktable import materialize
 
 BLOCK_ROWS = 2_000
@@ -69,19 +69,6 @@ def _pair_table(scores, rows, columns, x, y) -> pa.Table:
     return pa.table({"i": np.minimum(a, b), "j": np.maximum(a, b), "score": scores[x, y]})
 
 
-def _roots(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Smallest label reachable over the given links."""
-    label = parent
-    while True:
-        low = label.copy()
-        np.minimum.at(low, left, label[right])
-        np.minimum.at(low, right, low[left])
-        low = low[low]
-        if np.array_equal(low, label):
-            return label
-        label = low
-
-
 def _strongest_links(scores: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Links that keep every threshold's components of one score matrix (Boruvka rounds).
 
@@ -107,7 +94,7 @@ def _strongest_links(scores: np.ndarray, threshold: float) -> tuple[np.ndarray,
         top = order[np.concatenate([[True], home[order][1:] != home[order][:-1]])]
         x, y = x[top], y[top]
         kept.append((x, y))
-        label = _roots(np.arange(rows + columns), label[x], label[rows + y])[label]
+        label = smallest_reachable(np.arange(rows + columns), label[x], label[rows + y])[label]
     if not kept:
         nothing = np.empty(0, dtype=int)
         return nothing, nothing
