@@ -27,7 +27,7 @@ def clean_text(text: Column) -> Column:
     spaced = F.translate(text.cast("string"), "\r\n\t", "   ")
     printable = F.regexp_replace(spaced, r"[\x00-\x1f]", "")
     tidy = F.trim(F.regexp_replace(printable, r"(?U)\s+", " "))
-    return F.when(text.isNull(), "").when(tidy == "", MISSING).otherwise(tidy)
+    return F.coalesce(F.regexp_replace(tidy, "^$", MISSING), F.lit(""))
 
 
 def text_to_compare(source_id: Column, description: Column, developer: Column) -> Column:
@@ -71,13 +71,15 @@ def words(text: Column) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
-def word_bigrams(text: Column) -> Column:
-    """Neighbouring word pairs, in order, repeats kept."""
-    return bind(
-        words(text),
-        lambda w: F.zip_with(
-            F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))),
-            F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))),
-            lambda a, b: F.concat_ws(" ", a, b),
-        ),
-    )
+def word_bigrams(word_list: Column) -> Column:
+    """Neighbouring word pairs of a list of words, in order, repeats kept."""
+
+    def pair_up(w: Column) -> Column:
+        pairs = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(
+            F.slice(w, F.lit(1), pairs),
+            F.slice(w, F.lit(2), pairs),
+            lambda a, b: F.concat(a, F.lit(" "), b),
+        )
+
+    return bind(word_list, pair_up)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinfold.functions.text import bind, word_bigrams, words
+from kinfold.functions.text import bind, word_bigrams
 
 
 def parse_vector(text: Column) -> Column:
@@ -65,23 +65,23 @@ def term_counts(terms: Column) -> Column:
         F.lit(0).cast("long").alias("norm2"),
     )
     return bind(
-        F.array_sort(terms), lambda s: F.when(F.size(s) > 0, encode(s)).otherwise(empty)
+        F.sort_array(terms), lambda s: F.when(F.size(s) > 0, encode(s)).otherwise(empty)
     )
 
 
-def bigram_vector(text: Column) -> Column:
-    """Word-bigram count vector of a text, terms as 64-bit hashes."""
-    hashed = F.transform(F.coalesce(word_bigrams(text), F.array()), lambda t: F.xxhash64(t))
-    return term_counts(hashed)
+def bigram_vector(word_list: Column) -> Column:
+    """Word-bigram count vector of a list of words, terms as 64-bit hashes."""
+    pairs = F.coalesce(word_bigrams(word_list), F.array())
+    return term_counts(F.transform(pairs, lambda t: F.xxhash64(t)))
 
 
-def word_digest(text: Column) -> Column:
-    """Digest of the word sequence: equal digests mean equal bigram vectors."""
-    return F.sha2(F.array_join(words(text), " "), 256)
+def word_digest(word_list: Column) -> Column:
+    """Digest of a word sequence: equal digests mean equal bigram vectors."""
+    return F.sha2(F.array_join(word_list, " "), 256)
 
 
 def repeated_terms(vec: Column) -> Column:
-    """Map of the terms that occur more than once to their count (null when there is none)."""
+    """Map of the terms that occur more than once to their count."""
     runs = F.filter(
         F.arrays_zip(vec["terms"].alias("terms"), vec["counts"].alias("counts")),
         lambda r: r["counts"] > 1,
@@ -105,7 +105,10 @@ def sparse_dot(a_terms: Column, a_multi: Column, b_terms: Column, b_multi: Colum
         * F.coalesce(F.element_at(b_multi, t), F.lit(1)).cast("long")
         - F.lit(1).cast("long"),
     )
-    return F.size(F.array_intersect(a_terms, b_terms)).cast("long") + extra
+    none_repeated = (F.size(a_multi) == 0) & (F.size(b_multi) == 0)
+    return F.size(F.array_intersect(a_terms, b_terms)).cast("long") + F.when(
+        none_repeated, F.lit(0).cast("long")
+    ).otherwise(extra)
 
 
 def sparse_side(vec: Column) -> Column:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.functions.text import word_bigrams
+from kinfold.functions.text import word_bigrams, words
+from kinfold.sources.worktable import spread
 
 BATCH = 100
 
@@ -61,7 +62,7 @@ class HashedBigrams:
         self.name = f"hashed_bigrams_{dimension}"
 
     def embed(self, df: DataFrame, text_col: str, out_col: str) -> DataFrame:
-        terms = df.withColumn("_terms", F.coalesce(word_bigrams(F.col(text_col)), F.array()))
+        terms = df.withColumn("_terms", F.coalesce(word_bigrams(words(F.col(text_col))), F.array()))
         hashed = HashingTF(numFeatures=self.dimension, inputCol="_terms", outputCol="_tf").transform(
             terms
         )
@@ -136,8 +137,9 @@ def points_by_group(points: DataFrame, groups: DataFrame, id_col: str = "row_id"
 
 def text_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(row_id, term, k)``: word bigrams of each text and how often they occur."""
+    rows = spread(df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("_text")), "row_id")
     return (
-        df.select(F.col(id_col).alias("row_id"), F.explode(word_bigrams(F.col(text_col))).alias("term"))
+        rows.select("row_id", F.explode(word_bigrams(words(F.col("_text")))).alias("term"))
         .groupBy("row_id", "term")
         .agg(F.count("*").alias("k"))
     )

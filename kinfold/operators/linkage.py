@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.functions.text import MISSING, clean_text, shorten, strip
+from kinfold.functions.text import MISSING, clean_text, shorten, strip, words
 from kinfold.functions.vectors import bigram_vector, sparse_cosine, sparse_side
 from kinfold.operators import sparse
 from kinfold.operators.components import connected_components
@@ -156,19 +156,22 @@ def pair_features(
     """Per pair and field a similarity in [0, 1] and a 0/1 missing flag.
 
     Equal values are fully similar; a field missing on a side has similarity 0. Vectors are made once
-    per record, before the pair joins.
+    per record that is in a pair, before the pair joins.
     """
-    prepared = records.select(
+    pairs = materialize(pairs, "pairs")
+    used = pairs.select(F.explode(F.array("i", "j")).alias(id_col)).distinct()
+    prepared = records.join(used, id_col, "left_semi").select(
         F.col(id_col).alias("_id"),
         F.struct(
             *[F.col(f.name).cast("string").alias(f.name) for f in fields],
             *[
-                sparse_side(bigram_vector(F.col(f.name))).alias(f"{f.name}_vec")
+                sparse_side(bigram_vector(words(F.col(f.name)))).alias(f"{f.name}_vec")
                 for f in fields
                 if f.kind == TEXT
             ],
         ).alias("_r"),
     )
+    prepared = materialize(prepared, "prepared")
     a = prepared.select(F.col("_id").alias("i"), F.col("_r").alias("_a"))
     b = prepared.select(F.col("_id").alias("j"), F.col("_r").alias("_b"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinfold.functions.text import words
 from kinfold.functions.vectors import bigram_vector, sparse_cosine, sparse_side, word_digest
 from kinfold.operators.buckets import CHUNK, bucket_pairs, crossing_pairs, leader_pairs
 from kinfold.operators.components import connected_components
@@ -23,11 +24,12 @@ HOT_BUCKET = 5_000
 def text_vectors(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Stored ``(row_id, digest, vec)``: the word-bigram vector of each text, written once."""
     narrow = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("_text"))
+    tokens = spread(narrow, "row_id").select("row_id", words(F.col("_text")).alias("_words"))
     return materialize(
-        spread(narrow, "row_id").select(
+        tokens.select(
             "row_id",
-            word_digest(F.col("_text")).alias("digest"),
-            bigram_vector(F.col("_text")).alias("vec"),
+            word_digest(F.col("_words")).alias("digest"),
+            bigram_vector(F.col("_words")).alias("vec"),
         ),
         "vectors",
     )
@@ -40,12 +42,11 @@ def representatives(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     gathers in one task.
     """
     present = vectors.where(F.size("vec.terms") > 0)
-    reps = present.groupBy("digest").agg(F.min("row_id").alias("rep"))
-    members = present.select("row_id", "digest").join(reps, "digest").select("row_id", "rep")
-    distinct = present.join(
-        reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi"
-    )
-    return distinct, members
+    keys = present.select("row_id", "digest")
+    reps = keys.groupBy("digest").agg(F.min("row_id").alias("rep"))
+    members = materialize(keys.join(reps, "digest").select("row_id", "rep"), "members")
+    copies = members.where(F.col("row_id") != F.col("rep")).select("row_id")
+    return present.join(copies, "row_id", "left_anti"), members
 
 
 def prefix_postings(vectors: DataFrame, threshold: float) -> DataFrame:

@@ -21,7 +21,8 @@ class Resolution:
 
 
 def resolve(combined: DataFrame, threshold: float) -> Resolution:
-    """Exact dedup, vectors and groups of the combined relationships."""
+    """Exact dedup, vectors and groups of the combined relationships, which are written first."""
+    combined = materialize(combined, "combined")
     rows = materialize(
         dedup.first_of_each(combined, "source_description", ["domain_order", "row_id"]), "rows"
     )

@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.operators.extract import Focus
-
+from kinfold.sources.worktable import spread
+
+LINE_COLUMNS = [
+    "l_orderkey",
+    "l_partkey",
+    "l_suppkey",
+    "l_linenumber",
+    "l_quantity",
+    "l_returnflag",
+    "l_linestatus",
+]
 FOCUS = Focus("S0", "Supplier#000000000")
 
 
@@ -16,7 +26,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def relationships(spark: SparkSession, folder: str) -> DataFrame:
     """One relationship per order line: part or customer as source, supplier as target."""
-    line = table(spark, folder, "lineitem")
+    line = spread(table(spark, folder, "lineitem").select(*LINE_COLUMNS), "l_orderkey")
     part = table(spark, folder, "part")
     supplier = table(spark, folder, "supplier")
     orders = table(spark, folder, "orders")

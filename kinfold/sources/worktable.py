@@ -48,10 +48,13 @@ def discard(table: DataFrame) -> None:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a narrow, costly stage one partition per core when the scan has too few splits.
+    """Give a costly narrow stage one partition per core when the input is too small to have them.
 
-    Large inputs already come in more splits than cores and pass through without a shuffle.
+    An input estimated above one full split per core has enough partitions and passes without a
+    shuffle, so what this moves is bounded by the cores, not by the data.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits >= cores else df.repartition(cores, key)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= cores * split else df.repartition(cores, key)
