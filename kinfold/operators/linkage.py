@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -241,7 +242,8 @@ def optimal_threshold(
     distinct = materialize(
         scored.groupBy("score").agg(F.count("*").alias("n"), F.sum("score").alias("e")), "scores"
     )
-    cuts = distinct.approxQuantile("score", [k / slices for k in range(1, slices)], 0.1 / slices)
+    shares = [k / slices for k in range(1, slices)]
+    cuts = [] if distinct.isEmpty() or not shares else distinct.approxQuantile("score", shares, 0.1 / slices)
     inner = sorted(set(cuts))
     sliced = Bucketizer(
         splits=[-float("inf"), *inner, float("inf")] if inner else [-float("inf"), 0.0, float("inf")],
@@ -288,13 +290,17 @@ def optimal_threshold(
 def choose_threshold(
     scored: DataFrame, given: float | None = None, trained_now: bool = True, recall_weight: float = 1.0
 ) -> float:
-    """The given threshold, the default for a loaded model, or the optimal one after training."""
+    """The given threshold, the default for a loaded model, or the optimal one after training.
+
+    Clusters take scores strictly above the threshold, so the optimal one is set just below the score
+    that the optimum still includes.
+    """
     if given is not None:
         return given
     if not trained_now:
         return DEFAULT_THRESHOLD
     best = optimal_threshold(scored, recall_weight).first()
-    return DEFAULT_THRESHOLD if best is None else float(best["threshold"])
+    return DEFAULT_THRESHOLD if best is None else math.nextafter(best["threshold"], -math.inf)
 
 
 def partition(
