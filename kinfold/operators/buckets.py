@@ -31,6 +31,12 @@ def _chunked(postings: DataFrame, size: str, low: bool, chunk: int) -> DataFrame
     return df.withColumn("_cell", F.explode(pairs)).drop("_parts", "_own")
 
 
+def with_bucket_size(postings: DataFrame, key: str = "term") -> DataFrame:
+    """Add ``size``, the rows of each bucket; buckets of one row are dropped."""
+    sizes = postings.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size") > 1)
+    return postings.join(sizes, key)
+
+
 def bucket_pairs(
     postings: DataFrame,
     key: str = "term",
@@ -40,8 +46,7 @@ def bucket_pairs(
 ) -> DataFrame:
     """Distinct pairs ``(i, j)``, ``i < j``, of rows that share a bucket.
 
-    ``postings`` has the bucket ``key``, ``row_id`` and an upper bound ``size`` of the bucket's
-    rows. ``condition`` over the aliases ``a`` and ``b`` drops pairs inside the join, before
+    ``postings`` has the bucket ``key``, ``row_id`` and the ``size`` of the bucket. ``condition`` over the aliases ``a`` and ``b`` drops pairs inside the join, before
     anything is written.
     """
     a = _chunked(postings, size, True, chunk).alias("a")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.vectors import cosine
-from kinfold.operators.buckets import CHUNK, bucket_pairs
+from kinfold.operators.buckets import CHUNK, bucket_pairs, with_bucket_size
 from kinfold.operators.components import connected_components, smallest_reachable
 from kinfold.sources.worktable import materialize
 
@@ -259,8 +259,7 @@ def hashed_pairs(
 ) -> DataFrame:
     """Approximate ``similar_pairs``: vectors sharing a band, scores exact, some pairs missed."""
     postings = hyperplane_postings(vectors, id_col, vector_col, bands, bits, seed)
-    sizes = postings.groupBy("term").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    pairs = bucket_pairs(postings.join(sizes, "term"), chunk=chunk)
+    pairs = bucket_pairs(with_bucket_size(postings), chunk=chunk)
     rows = vectors.select(F.col(id_col).alias("row_id"), F.col(vector_col).alias("v"))
     return (
         pairs.join(rows.toDF("i", "_a"), "i")

@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.text import words
 from kinfold.functions.vectors import bigram_vector, sparse_cosine, sparse_side, word_digest
-from kinfold.operators.buckets import CHUNK, bucket_pairs, crossing_pairs, leader_pairs
+from kinfold.operators.buckets import (
+    CHUNK,
+    bucket_pairs,
+    crossing_pairs,
+    leader_pairs,
+    with_bucket_size,
+)
 from kinfold.operators.components import connected_components
 from kinfold.sources.worktable import materialize, spread
 
@@ -50,10 +56,10 @@ def representatives(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prefix_postings(vectors: DataFrame, threshold: float) -> DataFrame:
-    """``(term, size, row_id, reach)`` for the prefix terms of each vector.
+    """``(term, row_id, reach)`` for the prefix terms of each vector.
 
-    ``size`` is the number of rows with the term; ``reach`` the share of the vector's squared length
-    that the term and everything after it still hold.
+    ``reach`` is the share of the vector's squared length that the term and everything after it still
+    hold. Terms are ordered by the number of rows that have them.
     """
     postings = vectors.select(
         "row_id",
@@ -65,19 +71,19 @@ def prefix_postings(vectors: DataFrame, threshold: float) -> DataFrame:
     shared = (
         vectors.select(F.explode("vec.terms").alias("term"))
         .groupBy("term")
-        .agg(F.count("*").alias("size"))
-        .where(F.col("size") > 1)
+        .agg(F.count("*").alias("rows"))
+        .where(F.col("rows") > 1)
     )
     backwards = (
         Window.partitionBy("row_id")
-        .orderBy(F.desc("size"), F.desc("term"))
+        .orderBy(F.desc("rows"), F.desc("term"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         postings.join(shared, "term")
         .withColumn("reach", F.sum(F.col("n") * F.col("n")).over(backwards) / F.col("norm2"))
         .where(F.col("reach") > threshold * threshold - SLACK)
-        .select("term", "size", "row_id", "reach")
+        .select("term", "row_id", "reach")
     )
 
 
@@ -96,7 +102,7 @@ def score_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.8, chunk: int = CHUNK) -> DataFrame:
     """All pairs ``(i, j, score)`` with ``i < j`` and a cosine strictly above ``threshold``."""
-    postings = materialize(prefix_postings(vectors, threshold), "postings")
+    postings = with_bucket_size(materialize(prefix_postings(vectors, threshold), "postings"))
     candidates = bucket_pairs(postings, condition=_in_reach(threshold), chunk=chunk)
     return score_pairs(candidates, vectors).where(F.col("score") > threshold)
 
@@ -114,7 +120,7 @@ def similar_groups(
     still in different components are then compared, which leaves the components unchanged.
     """
     distinct, members = representatives(vectors)
-    postings = materialize(prefix_postings(distinct, threshold), "postings")
+    postings = with_bucket_size(materialize(prefix_postings(distinct, threshold), "postings"))
     cold = postings.where(F.col("size") <= hot_bucket)
     hot = postings.where(F.col("size") > hot_bucket)
 
@@ -156,6 +162,5 @@ def hashed_pairs(
 ) -> DataFrame:
     """Approximate ``similar_pairs``: rows sharing a MinHash band, scores exact, some pairs missed."""
     postings = materialize(minhash_postings(vectors, bands, rows), "postings")
-    sizes = postings.groupBy("term").agg(F.count("*").alias("size")).where(F.col("size") > 1)
-    candidates = bucket_pairs(postings.join(sizes, "term"), chunk=chunk)
+    candidates = bucket_pairs(with_bucket_size(postings), chunk=chunk)
     return score_pairs(candidates, vectors).where(F.col("score") > threshold)
