@@ -7,24 +7,54 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import quality, simhash
+from kinfold.llm import mixing, packing, quality, secret_scan, simhash
 from kinfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] != "novel")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    joined = lambda some: F.array_join(
+        F.transform(some, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),
+        ",",
+    )
+    return secret_scan.scan(table(spark, folder, "documents")).select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(spans).alias("spans"),
+        count("novel").alias("n_novel"),
+    )
+
+
 def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.components(table(spark, folder, "documents"), shingle=3, max_bits=2)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"))
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.allotted(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken"
+    )
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op7_packing": op7_packing,
+    "op8_mixing": op8_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
