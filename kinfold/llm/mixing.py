@@ -7,9 +7,9 @@ probabilities move along directions that change neither the number of documents
 until they are 0 or 1. Three open documents always have such a direction, so a bucket of any size ends
 with two open ones at most. Sources are dealt over buckets by a hash of the id; what stays open in the
 buckets goes on to the next round, in fewer buckets, until each source has one bucket left, whose last
-two open documents are landed: of their four roundings the one that misses the fewest words. Long
-documents fly first, so those that are landed are short. The words taken of a source miss its target by
-less than a document, however many documents it has.
+two open documents are landed: of their four roundings the one that misses the fewest words. What a long
+document leaves missing then is made good by swapping documents within that last bucket. The words taken
+of a source miss its target by less than a document, however many documents it has.
 
 Order and draws come from hashes of ids and group names: reruns and retried tasks agree.
 
@@ -92,7 +92,7 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
 
     Sums of ``p`` and of ``p * size`` stay as they are, but for the landing.
     """
-    p = p.astype(float).copy()
+    p, goal = p.astype(float).copy(), p @ size
     held: list[int] = []
     for unit in np.flatnonzero((p > 0) & (p < 1)):
         held.append(int(unit))
@@ -106,6 +106,7 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
         held = [k for k in held if 0 < p[k] < 1]
     if land and held:
         p[held] = landed(p[held], size[held])
+        p = exchanged(p, size, float(goal - p @ size))
     return p
 
 
@@ -116,6 +117,25 @@ def landed(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return choices[np.lexsort((docs, words))[0]]
 
 
+def exchanged(p: np.ndarray, size: np.ndarray, miss: float) -> np.ndarray:
+    """Swap taken documents for others while that brings the words nearer by ``miss``; documents stay as many."""
+    while True:
+        taken, free = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if not len(taken) or not len(free):
+            return p
+        free = free[np.argsort(size[free], kind="stable")]
+        wanted = size[taken] + miss
+        after = np.clip(np.searchsorted(size[free], wanted), 0, len(free) - 1)
+        pairs = np.concatenate([after, np.maximum(after - 1, 0)])
+        left = np.abs(np.tile(wanted, 2) - size[free[pairs]])
+        best = int(np.argmin(left))
+        if left[best] >= abs(miss) - 0.5:
+            return p
+        gone, come = taken[best % len(taken)], free[pairs[best]]
+        p[gone], p[come] = 0.0, 1.0
+        miss += size[gone] - size[come]
+
+
 def _bucket(docs_in_group: Column, bucket: int, salt: int) -> Column:
     count = F.greatest(F.ceil(docs_in_group / bucket), F.lit(1))
     return F.pmod(F.xxhash64("_unit", F.lit(salt)), count).cast("long")
