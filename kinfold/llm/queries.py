@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import mixing, packing, quality, secret_scan, simhash
+from kinfold.llm import langid, mixing, packing, quality, secret_scan, sharding, simhash, topk, toxicity, url_filter
 from kinfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages"))
+
+
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"] != "novel")
@@ -36,6 +40,19 @@ def op3_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identified(table(spark, folder, "documents"))
+
+
+def op6_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    found = topk.top_k(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"))
 
@@ -46,15 +63,32 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents")).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_language_id": op5_language_id,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
+    "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
 
