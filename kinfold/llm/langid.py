@@ -54,7 +54,7 @@ RATE = 0.05
 L2 = 1e-5
 SEED = 13
 #: Distinct words that a task remembers the emissions of.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 

@@ -21,6 +21,7 @@ are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator, Mapping
 
@@ -38,36 +39,84 @@ LENGTH = 4096
 #: Sequences in a window, the stretch that holds the target proportions.
 WINDOW_SEQUENCES = 16
 #: Distinct words that a task remembers the ids of.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
+PUNCTUATION = b".,!?;:"
 #: Largest layout, in bytes, that is sent to all tasks instead of being joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 BLOCK = 4096
 
 
-def word_tokenizer(path: str):
-    """A function from UTF-8 text to its ids as little-endian unsigned 32-bit bytes.
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones stand for themselves,
+    the others for the code points from 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
-    This vocabulary drops white space and never joins across it, so a text's ids are those of its
-    words in turn. The words' ids are remembered, since most words of a text are frequent ones.
-    """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+class WordTokenizer:
+    """Ids of UTF-8 texts, as little-endian unsigned 32-bit bytes.
 
-    def learn(words: list[bytes]) -> None:
-        if len(known) + len(words) > KNOWN_WORDS:
-            known.clear()
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for word, found in zip(words, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, dtype="<u4").tobytes()
+    This vocabulary lower-cases, drops white space and never joins across it, nor a letter with the
+    punctuation after it. So a text's ids are those of its words in turn, and a word's those of its
+    letters and its trailing punctuation. Ids of words are remembered, since most words are frequent ones.
+    Words of European letters only are one piece, which the model takes without the steps before it.
+    """
 
-    def ids(text: bytes) -> bytes:
-        words = text.split()
-        learn([w for w in set(words) if w not in known])
-        return b"".join(map(known.__getitem__, words))
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.known: dict[bytes, bytes] = {}
+
+    def ids(self, text: bytes) -> bytes:
+        # Special tokens are told by case, so texts that may hold one keep theirs.
+        words = (text if b"<|" in text else text.lower()).split()
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+        missing = {w for w in words if w not in self.known}
+        if missing:
+            self.learn(missing)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def learn(self, words: set[bytes]) -> None:
+        known, ends = self.known, {}
+        for word in words:
+            core = word.rstrip(PUNCTUATION)
+            if core and core != word and core[-1:].isalpha() and b"<|" not in word:
+                ends[word] = core, word[len(core) :]
+        parts = {p for both in ends.values() for p in both} | (words - ends.keys())
+        hard = []
+        for part in (p for p in parts if p not in known):
+            text = part.decode("utf-8", "replace")
+            if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+                tokens = self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))
+                known[part] = packed_ids([t.id for t in tokens])
+            else:
+                hard.append((part, text))
+        found = self.tokenizer.encode_batch_fast([text for _, text in hard], add_special_tokens=False)
+        for (part, _), one in zip(hard, found, strict=True):
+            known[part] = packed_ids(one.ids)
+        for word, (core, end) in ends.items():
+            known[word] = known[core] + known[end]
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """The tokenizer of this worker process, loaded once and kept with the words it knows.
+
+    It is kept on the library's module, because functions that travel by value have fresh globals.
+    """
+    import tokenizers
 
-    return ids
+    loaded = tokenizers.__dict__.setdefault("_word_tokenizers", {})
+    if path not in loaded:
+        loaded[path] = WordTokenizer(path)
+    return loaded[path]
 
 
 def tokenized(docs: DataFrame, key: str, path: str, end: int = END) -> DataFrame:
@@ -75,7 +124,7 @@ def tokenized(docs: DataFrame, key: str, path: str, end: int = END) -> DataFrame
     source before the document in its partition ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, given = word_tokenizer(path), TaskContext.get().partitionId(), {}
+        ids_of, part, given = word_tokenizer(path).ids, TaskContext.get().partitionId(), {}
         last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
