@@ -54,53 +54,57 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class WordTokenizer:
-    """Ids of UTF-8 texts, as little-endian unsigned 32-bit bytes.
+class KnownWords(dict):
+    """Ids of each word, found when first asked for, as little-endian unsigned 32-bit bytes.
 
-    This vocabulary lower-cases, drops white space and never joins across it, nor a letter with the
-    punctuation after it. So a text's ids are those of its words in turn, and a word's those of its
-    letters and its trailing punctuation. Ids of words are remembered, since most words are frequent ones.
-    Words of European letters only are one piece, which the model takes without the steps before it.
+    A word's ids are those of its letters and then of its trailing punctuation. Words of European letters
+    only are one piece, which the model takes without the steps before it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.known: dict[bytes, bytes] = {}
+        self.pieces, self.letters = self.tokenizer.model.tokenize, byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters, which stand for themselves
+            ids = packed_ids([piece.id for piece in self.pieces(word.lower().decode())])
+        else:
+            core = word.rstrip(PUNCTUATION)
+            if len(core) < len(word) and core[-1:].isalpha() and b"<|" not in word:
+                ids = self[core] + self[word[len(core) :]]
+            else:
+                ids = self.other(word.decode("utf-8", "replace"))
+        self[word] = ids
+        return ids
+
+    def other(self, text: str) -> bytes:
+        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+            spelled = text.lower().encode().decode("latin-1").translate(self.letters)
+            return packed_ids([piece.id for piece in self.pieces(spelled)])
+        return packed_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+class WordTokenizer:
+    """Ids of UTF-8 texts.
+
+    This vocabulary lower-cases, drops white space and never joins across it, nor a letter with the
+    punctuation after it. So a text's ids are those of its words in turn, and these are remembered, since
+    most words are frequent ones.
+    """
+
+    def __init__(self, path: str):
+        self.known = KnownWords(path)
 
     def ids(self, text: bytes) -> bytes:
-        # Special tokens are told by case, so texts that may hold one keep theirs.
-        words = (text if b"<|" in text else text.lower()).split()
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        missing = {w for w in words if w not in self.known}
-        if missing:
-            self.learn(missing)
+        # Special tokens are told by case, so texts that may hold one keep theirs.
+        words = (text if b"<|" in text else text.lower()).split()
         return b"".join(map(self.known.__getitem__, words))
 
-    def learn(self, words: set[bytes]) -> None:
-        known, ends = self.known, {}
-        for word in words:
-            core = word.rstrip(PUNCTUATION)
-            if core and core != word and core[-1:].isalpha() and b"<|" not in word:
-                ends[word] = core, word[len(core) :]
-        parts = {p for both in ends.values() for p in both} | (words - ends.keys())
-        hard = []
-        for part in (p for p in parts if p not in known):
-            text = part.decode("utf-8", "replace")
-            if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
-                tokens = self.model.tokenize(text.lower().encode().decode("latin-1").translate(self.letters))
-                known[part] = packed_ids([t.id for t in tokens])
-            else:
-                hard.append((part, text))
-        found = self.tokenizer.encode_batch_fast([text for _, text in hard], add_special_tokens=False)
-        for (part, _), one in zip(hard, found, strict=True):
-            known[part] = packed_ids(one.ids)
-        for word, (core, end) in ends.items():
-            known[word] = known[core] + known[end]
-
 
 def packed_ids(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
