@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,7 @@ TRAINING_DOCS = 300
 TRAINING_WORDS = 200_000
 HASHES = 1 << 16
 AFFIX = 3
+NGRAM = 3
 LEXICON = 2_000
 CHAIN = 24
 SWITCH = 0.1
@@ -54,20 +56,35 @@ RATE = 0.05
 L2 = 1e-5
 SEED = 13
 #: Distinct words that a task remembers the emissions of.
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 400_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def word_features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Numbers of a word's features; a word without letters has none."""
-    letters = "".join(LETTERS.findall(word.lower()))
-    if not letters:
-        return []
-    names = {f"p{letters[:k]}" for k in range(1, AFFIX + 1)} | {f"s{letters[-k:]}" for k in range(1, AFFIX + 1)}
-    names |= {f"n{letters[k : k + size]}" for size in (2, 3) for k in range(len(letters) - size + 1)}
-    hashed = [zlib.crc32(name.encode("utf-8", "replace")) % HASHES for name in names]
-    return hashed + ([HASHES + lexicon[letters]] if letters in lexicon else [])
+class Hashed(dict):
+    """The number of each feature name, hashed when first asked for."""
+
+    def __missing__(self, name: str) -> int:
+        self[name] = number = zlib.crc32(name.encode("utf-8", "replace")) % HASHES
+        return number
+
+
+def letters_of(word: str) -> str:
+    """A word's letters, lower-cased; what its features are made of."""
+    lowered = word.lower()
+    return lowered if lowered.isalpha() else "".join(LETTERS.findall(lowered))
+
+
+def letter_features(letters: str, lexicon: dict[str, int], hashed: Hashed) -> list[int]:
+    """Numbers of the features of a word's letters: affixes, n-grams and the word itself."""
+    if len(hashed) > HASHES:
+        hashed.clear()
+    n = len(letters)
+    names = [f"p{letters[:k]}" for k in range(1, min(AFFIX, n) + 1)]
+    names += [f"s{letters[n - k :]}" for k in range(1, min(AFFIX, n) + 1)]
+    names += {letters[k : k + NGRAM] for k in range(n - NGRAM + 1)}
+    found = [hashed[name] for name in names]
+    return [*found, HASHES + lexicon[letters]] if letters in lexicon else found
 
 
 @dataclass
@@ -79,9 +96,38 @@ class Crf:
     emission: np.ndarray
     transition: np.ndarray
 
-    def emissions(self, word: str) -> np.ndarray:
-        found = word_features(word, self.lexicon)
-        return self.emission[found].sum(axis=0) if found else np.zeros(len(self.languages), np.float32)
+
+class Known:
+    """Emissions of the words of earlier texts: each word's row in one growing table."""
+
+    def __init__(self, crf: Crf):
+        self.crf, self.hashed, self.row = crf, Hashed(), {}
+        self.table = np.zeros((1, len(crf.languages)), np.float32)  # row 0: a word without letters
+        self.rows = 1
+
+    def learn(self, words: set[str]) -> None:
+        cores = {word: letters_of(word) for word in words}
+        parts = [c for c in {*cores.values()} if c and c not in self.row]
+        if parts:
+            lists = [letter_features(c, self.crf.lexicon, self.hashed) for c in parts]
+            starts = np.cumsum([0, *map(len, lists[:-1])])
+            flat = np.fromiter(chain.from_iterable(lists), dtype=np.int64)
+            found = np.add.reduceat(self.crf.emission[flat], starts, axis=0)
+            after = self.rows + len(parts)
+            if after > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros((max(after, 65536), found.shape[1]), np.float32)])
+            self.table[self.rows : after] = found
+            self.row.update(zip(parts, range(self.rows, after), strict=True))
+            self.rows = after
+        self.row.update((word, self.row[core] if core else 0) for word, core in cores.items())
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row of emissions for each word; the table starts anew when it holds too many."""
+        if len(self.row) > KNOWN_WORDS:
+            self.row, self.rows = {}, 1
+        if missing := {w for w in words if w not in self.row}:
+            self.learn(missing)
+        return self.table[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].astype(float)
 
 
 def _forward_backward(potential: np.ndarray, transfer: np.ndarray, start: np.ndarray, end: np.ndarray):
@@ -167,7 +213,7 @@ def fitted(texts: list[tuple[str, str]], languages: list[str]) -> Crf:
     rng, k = np.random.default_rng(SEED), len(languages)
     of = {name: number for number, name in enumerate(languages)}
     words = [(w, of[lang]) for text, lang in texts for w in text.split()]
-    seen = Counter("".join(LETTERS.findall(w.lower())) for w, _ in words)
+    seen = Counter(letters_of(w) for w, _ in words)
     frequent = sorted((w for w in seen if w), key=lambda w: (-seen[w], w))[:LEXICON]
     lexicon = {w: number for number, w in enumerate(frequent)}
     pieces = [words[at : at + CHAIN // 2] for at in range(0, len(words) - CHAIN // 2 + 1, CHAIN // 2)]
@@ -178,7 +224,8 @@ def fitted(texts: list[tuple[str, str]], languages: list[str]) -> Crf:
     for number, piece in enumerate(pieces):
         other = pieces[rng.integers(len(pieces))] if rng.random() < SWITCH else piece
         chains.append(piece + other if number % 2 else other + piece)
-    known = {w: word_features(w, lexicon) for w in {w for chain in chains for w, _ in chain}}
+    hashed = Hashed()
+    known = {w: letter_features(letters_of(w), lexicon, hashed) for w in {w for row in chains for w, _ in row}}
     size = HASHES + len(lexicon)
     theta = np.zeros((size + k, k))
     m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
@@ -187,14 +234,14 @@ def fitted(texts: list[tuple[str, str]], languages: list[str]) -> Crf:
         order = rng.permutation(len(chains))
         for begin in range(0, len(chains), BATCH):
             batch = [chains[c] for c in order[begin : begin + BATCH]]
-            lists = [known[w] for chain in batch for w, _ in chain]
+            lists = [known[w] for row in batch for w, _ in row]
             counts = np.array([len(x) for x in lists])
             flat = np.fromiter((f for x in lists for f in x), dtype=np.int64, count=int(counts.sum()))
             word = np.repeat(np.arange(len(lists)), counts)
             scores = np.stack(
                 [np.bincount(word, weights=theta[flat, c], minlength=len(lists)) for c in range(k)], axis=1
             )
-            gold = np.array([lang for chain in batch for _, lang in chain])
+            gold = np.array([lang for row in batch for _, lang in row])
             potential = np.exp(scores - scores.max(axis=1, keepdims=True)).reshape(len(batch), CHAIN, k)
             transfer = np.exp(theta[size:] - theta[size:].max())
             ones = np.ones((len(batch), k))
@@ -239,8 +286,10 @@ def trained(docs: DataFrame, key: str = "doc_id") -> Crf | None:
     return fitted(texts, sorted(sizes)) if texts else None
 
 
-def document_languages(texts: list[str | None], crf: Crf, known: dict[str, np.ndarray]) -> list[tuple[str, float]]:
-    """Language and score of each text; ``known`` remembers words' emissions between calls."""
+def document_languages(
+    texts: list[str | None], crf: Crf, known: Known
+) -> list[tuple[str, float]]:
+    """Language and score of each text; ``known`` remembers words between calls."""
     words, starts, owners, out = [], [], [], [(UNKNOWN, 0.0)] * len(texts)
     for number, text in enumerate(texts):
         if text and LETTERS.search(text):
@@ -249,12 +298,7 @@ def document_languages(texts: list[str | None], crf: Crf, known: dict[str, np.nd
             words += text.split()
     if not words:
         return out
-    if len(known) > KNOWN_WORDS:
-        known.clear()
-    for w in set(words):
-        if w not in known:
-            known[w] = crf.emissions(w)
-    scores = np.array([known[w] for w in words], dtype=np.float64)
+    scores = known.scores(words)
     mass = np.add.reduceat(posteriors(scores, np.array(starts), crf.transition), starts, axis=0)
     share = mass / mass.sum(axis=1, keepdims=True)
     for number, best, row in zip(owners, share.argmax(axis=1), share, strict=True):
@@ -266,7 +310,7 @@ def predicted(docs: DataFrame, crf: Crf | None, key: str = "doc_id") -> DataFram
     """``(key, lang_pred, score)`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, np.ndarray] = {}
+        known = Known(crf) if crf else None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
