@@ -37,8 +37,9 @@ SCALE = 1024
 BLOCK = 4096
 QUERY_BLOCK = 256
 LEVELS = 16
-#: Looks at what can still be a member, while all segments of a query are processed.
-ROUNDS = 4
+#: Shares of a query's segments after which it is looked at what can still be a member. On dense vectors
+#: hardly anything is proven before the first look.
+LOOKS = (0.7, 0.85, 1.0)
 #: Possible members, for each wanted row, that are scored directly instead of going on.
 DIRECT = 16
 
@@ -117,7 +118,7 @@ class ImpactIndex:
         values = values if len(live) == values.shape[1] else values[:, live]
         ask, ends = query[live].astype(values.dtype), ends.astype(values.dtype)
         seen, part_of = np.zeros(len(values), dtype=values.dtype), self.scratch[values.dtype.kind][:, : len(live)]
-        for part in np.array_split(lists, ROUNDS):
+        for part in np.split(lists, [round(share * len(lists)) for share in LOOKS[:-1]]):
             after = done + np.bincount(part, minlength=len(live)).astype(np.int8)
             now = (segment >= done) & (segment < after)
             seen += np.multiply(values, now, out=part_of) @ ask
