@@ -33,11 +33,16 @@ def first_of_each(
 
 
 def all_duplicates(df: DataFrame, column: str) -> DataFrame:
-    """Every row whose value of ``column`` occurs more than once."""
+    """Every row whose value of ``column`` occurs more than once.
+
+    Rows without a value are decided by a look at two of them and take no part in the join.
+    """
+    absent, present = df.where(F.col(column).isNull()), df.where(F.col(column).isNotNull())
     repeated = (
-        df.groupBy(text_key(column).alias("_key"))
+        present.groupBy(text_key(column).alias("_key"))
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > 1)
         .select("_key")
     )
-    return df.withColumn("_key", text_key(column)).join(repeated, "_key", "left_semi").drop("_key")
+    found = present.withColumn("_key", text_key(column)).join(repeated, "_key", "left_semi").drop("_key")
+    return found.unionByName(absent) if absent.limit(2).count() == 2 else found

@@ -217,9 +217,9 @@ def score_pairs(features: DataFrame, model: PipelineModel) -> DataFrame:
     return model.transform(features).select("i", "j", vector_to_array("_p")[1].alias("score"))
 
 
-def sample_size(records: int) -> int:
-    """Pairs to train on: at most a quarter of all pairs and the cap."""
-    return min(SAMPLE_CAP, records * (records - 1) // 4)
+def sample_size(records: int, cap: int = SAMPLE_CAP) -> int:
+    """Labelled pairs to train on: at most a quarter of all pairs and ``cap``."""
+    return min(cap, records * (records - 1) // 4)
 
 
 def training_sample(pairs: DataFrame, k: int, seed: int = 42) -> DataFrame:

@@ -222,7 +222,8 @@ WHERE m.row_id <> c.canonical_id AND p.i IS NULL""",
     ),
     cte(
         "kept",
-        """SELECT * FROM (SELECT m.*, count(*) OVER (PARTITION BY m.group_id) AS n FROM members m
+        """SELECT * REPLACE (row_number() OVER (PARTITION BY group_id ORDER BY row_id) AS ordinal)
+FROM (SELECT m.*, count(*) OVER (PARTITION BY m.group_id) AS n FROM members m
   ANTI JOIN wrong w ON w.row_id = m.row_id) WHERE n >= 2""",
     ),
 ]
@@ -702,15 +703,20 @@ FROM group_docs JOIN unfiltered USING (document_number) GROUP BY ALL""",
     "R_focus_role": statement(
         RAW_DOCS + MENTIONS + PROFILES + ROLES, "SELECT group_id, focus_role FROM roles"
     ),
+    "R_unified_organizations": statement(UNIFIED + PROFILES, "SELECT * FROM profiles"),
+    "R_unified_mentions": statement(
+        UNIFIED,
+        """SELECT group_id, row_id, side, org_id, CASE WHEN dev THEN 'DEVELOPED_BY' ELSE 'COLLABORATION' END
+  AS relationship_type, document_number FROM group_docs JOIN mentions USING (document_number)""",
+    ),
     "R_unified": statement(
         UNIFIED
         + PROFILES
         + ROLES
         + [
-            cte("summary", _SUMMARY),
             cte(
                 "titles",
-                """SELECT group_id, source_english_id AS title FROM (SELECT *, row_number() OVER
+                """SELECT group_id, source_english_id AS title, source_description AS description FROM (SELECT *, row_number() OVER
   (PARTITION BY group_id ORDER BY coalesce(length(source_description), 0) DESC, row_id) AS rn FROM kept)
 WHERE rn = 1""",
             ),
@@ -730,7 +736,6 @@ WHERE document_number IN (SELECT document_number FROM mentions) GROUP BY group_i
   description AS canonical_description, total_mentions, coalesce(developers, 0) AS developers,
   coalesce(collaborators, 0) AS collaborators, focus_role, coalesce(documents, 0) AS documents
 FROM sizes JOIN roles USING (group_id) LEFT JOIN titles USING (group_id)
-LEFT JOIN (SELECT * FROM summary WHERE part = 0) USING (group_id)
 LEFT JOIN orgs USING (group_id) LEFT JOIN papers USING (group_id)""",
     ),
     "R_unified_aliases": statement(KEPT, "SELECT group_id, row_id, source_english_id AS alias FROM kept"),

@@ -474,8 +474,25 @@ def R_focus_role(spark, folder):
 
 @query
 def R_unified(spark, folder):
-    kept, summaries, documents, relationships = _unified(spark, folder)
-    return unify.unified_headers(kept, summaries, documents, relationships, testbed.FOCUS.org_id)
+    kept, _, documents, relationships = _unified(spark, folder)
+    return unify.unified_headers(kept, documents, relationships, testbed.FOCUS.org_id)
+
+
+@query
+def R_unified_organizations(spark, folder):
+    """Organizations of the unified records, in long form."""
+    _, _, documents, relationships = _unified(spark, folder)
+    return unify.organization_profiles(documents, relationships)
+
+
+@query
+def R_unified_mentions(spark, folder):
+    """Mentions of the unified records, in long form: one row a group and mention."""
+    _, _, documents, relationships = _unified(spark, folder)
+    said = documents.select("group_id", "document_number").join(
+        unify.mentions(relationships), "document_number"
+    )
+    return said.select("group_id", "row_id", "side", "org_id", "relationship_type", "document_number")
 
 
 @query

@@ -38,10 +38,10 @@ def members(run: Resolution) -> DataFrame:
 
 
 def validated(run: Resolution, threshold: float) -> DataFrame:
-    """Members that the rule reviewer keeps, numbered."""
+    """Members that the rule reviewer keeps, numbered afresh."""
     numbered = materialize(members(run), "members")
     wrong = review.rule_verdicts(numbered, run.vectors, threshold)
-    return review.apply_verdicts(numbered, wrong)
+    return review.renumbered(materialize(review.apply_verdicts(numbered, wrong), "reviewed"))
 
 
 def unified_inputs(kept: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ def local_session(name: str = "kinfold", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -98,6 +98,39 @@ def test_verdicts_name_ordinals(rows):
     assert {r.row_id for r in review.apply_verdicts(m, by_id, "member_id").collect()} == {7, 40}
 
 
+def test_members_are_numbered_afresh_after_review(rows):
+    wrong = rows([(1, 2, "")], "group_id long, ordinal int, reasoning string")
+    kept = review.renumbered(review.apply_verdicts(members(rows, [40, 7, 12, 50]), wrong), 2)
+    prompts = review.summary_prompts(kept).orderBy("part").collect()
+    assert [[line.split(":")[0] for line in p.prompt.split("\n")] for p in prompts] == [["1. name 7", "2. name 40"], ["3. name 50"]]
+
+
+@pytest.mark.parametrize("gone", [[1], [1, 2], []])
+def test_header_is_whole_without_the_first_part(rows, gone):
+    m = members(rows, [1, 2, 3, 4, 5, 6], part_members=2)
+    wrong = rows([(1, n, "") for n in gone] or [(9, 1, "")], "group_id long, ordinal int, reasoning string")
+    kept = review.apply_verdicts(m, wrong)
+    relationships = rows([rel(1)], REL).withColumn("domain_order", F.lit(0))
+    documents = unify.group_documents(kept, relationships)
+    header = unify.unified_headers(kept, documents, relationships, "S1").collect()
+    assert len(header) == 1
+    assert (header[0].canonical_name, header[0].canonical_description) == ("name 6", "d" * 6)
+    assert header[0].total_mentions == 6 - len(gone)
+
+
+def test_part_summaries_are_reduced_to_one(rows):
+    def make_model():
+        def answer(prompts):
+            return [{"title": p.split(": ")[0], "description": str(p.count("\n") + 1)} for p in prompts]
+
+        return answer
+
+    parts = [(1, n, f"t{n}", "d") for n in range(7)] + [(2, 3, "alone", "kept")]
+    got = review.reduced_summaries(rows(parts, review.SUMMARY_SCHEMA), make_model, fan_in=3).collect()
+    assert {r.group_id for r in got} == {1, 2} and len(got) == 2
+    assert {(r.title, r.description) for r in got if r.group_id == 2} == {("alone", "kept")}
+
+
 def test_group_left_with_one_member_disappears(rows):
     wrong = rows([(1, 1, ""), (1, 3, "")], "group_id long, ordinal int, reasoning string")
     assert review.apply_verdicts(members(rows, [40, 7, 12]), wrong).isEmpty()
