@@ -177,9 +177,9 @@ def sampled_features(rows: DataFrame, vocabulary: list[str], share: float) -> tu
     million = 1_000_000
     chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(million)) < int(share * million) + 1)
     sample = chosen.select("text", "toxic").mapInArrow(run, "words array<int>, toxic int")
-    table = sample.orderBy(F.xxhash64("words", "toxic"), "words", "toxic").toArrow()
-    present = [np.array(words, dtype=int) for words in table.column("words").to_pylist()]
-    return present, table.column("toxic").to_numpy().astype(float)
+    # Sorted here, so that the weights do not depend on the order in which tasks end.
+    rows_ = sorted((r["words"], r["toxic"]) for r in sample.collect())
+    return [np.array(words, dtype=int) for words, _ in rows_], np.array([float(t) for _, t in rows_])
 
 
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
