@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.text import MISSING, clean_text, shorten, strip, words
 from kinfold.functions.vectors import bigram_vector, sparse_cosine, sparse_side
 from kinfold.operators import sparse
+from kinfold.operators.buckets import bucket_pairs, with_bucket_size
 from kinfold.operators.components import connected_components
 from kinfold.operators.dedup import text_key
 from kinfold.operators.extract import INNOVATION
@@ -23,6 +24,8 @@ from kinfold.sources.worktable import materialize
 
 KEY_FIELDS = ["source_id", "source_english_id", "source_description"]
 TEXT, STRING = "text", "string"
+#: Block keys of a linkage run: records that agree in all columns of a key are compared.
+BLOCKS = (("source_description", "target_id"), ("source_description", "document_number"))
 SAMPLE_CAP = 15_000
 DEFAULT_THRESHOLD = 0.5
 MIN_RECORDS = 2
@@ -111,17 +114,55 @@ def enough_records(records: DataFrame) -> str:
     return "none" if n < MIN_RECORDS else "few" if n < FEW_RECORDS else "ok"
 
 
+def block_pairs(
+    records: DataFrame, blocks: Sequence[Sequence[str]], id_col: str = "record_id"
+) -> DataFrame:
+    """``(i, j)``, ``i < j``: the pairs of records that agree in every column of a block key.
+
+    A key with a null, empty or missing value makes no block. Records equal in all columns but the id
+    are one class: classes meet through their smallest records, in chunks of a block, and each further
+    record of a class is paired with its smallest. A class of any size adds one pair a copy; no pair
+    between different records is lost, whatever the size of the block.
+    """
+
+    def term(number: int, key: Sequence[str]) -> Column:
+        values = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
+        whole = ~F.array_contains(F.array(*[v.isin("", MISSING) for v in values]), True)
+        return F.when(whole, F.sha2(F.to_json(F.array(F.lit(str(number)), *values)), 256))
+
+    fields = [c for c in records.columns if c != id_col]
+    terms = F.array(*[term(n, key) for n, key in enumerate(blocks)])
+    keyed = records.select(
+        F.col(id_col).alias("row_id"),
+        F.sha2(F.to_json(F.struct(*fields)), 256).alias("_class"),
+        F.filter(terms, lambda t: t.isNotNull()).alias("_terms"),
+    )
+    keyed = materialize(keyed.where(F.size("_terms") > 0), "blocks")
+    firsts = keyed.groupBy("_class").agg(
+        F.min("row_id").alias("first"), F.min_by("_terms", "row_id").alias("_terms")
+    )
+    postings = firsts.select(F.col("first").alias("row_id"), F.explode("_terms").alias("term"))
+    copies = (
+        keyed.join(firsts.select("_class", "first"), "_class")
+        .where(F.col("row_id") != F.col("first"))
+        .select(F.col("first").alias("i"), F.col("row_id").alias("j"))
+    )
+    return bucket_pairs(with_bucket_size(postings)).unionByName(copies)
+
+
 def candidate_pairs(
     records: DataFrame,
     text_col: str = "source_description",
     min_cosine: float = 0.5,
     id_col: str = "record_id",
+    blocks: Sequence[Sequence[str]] = (),
 ) -> DataFrame:
     """``(i, j, cosine)``: the pairs worth scoring.
 
     The first record of every distinct text is compared with the other first records by an exact
     similarity join; each copy of a text is a candidate with that first record. A text held by a
-    third of all records therefore adds one pair per copy, and every record stays connected.
+    third of all records therefore adds one pair per copy, and every record stays connected. Records
+    that share one of the ``blocks`` are candidates besides, whatever their cosine.
     """
     keyed = materialize(
         records.select(F.col(id_col).alias("row_id"), text_col).withColumn(
@@ -141,7 +182,21 @@ def candidate_pairs(
     )
     vectors = sparse.text_vectors(distinct, "row_id", text_col)
     near = sparse.similar_pairs(vectors, min_cosine).withColumnRenamed("score", "cosine")
-    return near.unionByName(copies)
+    found = near.unionByName(copies)
+    if not blocks:
+        return found
+    found = materialize(found, "near")
+    more = block_pairs(records, blocks, id_col).join(found.select("i", "j"), ["i", "j"], "left_anti")
+    text_of = keyed.select("row_id", "_key").join(firsts, "_key").select("row_id", "first")
+    placed = more.join(text_of.toDF("i", "_x"), "i").join(text_of.toDF("j", "_y"), "j")
+    placed = materialize(
+        placed.select("i", "j", F.least("_x", "_y").alias("_lo"), F.greatest("_x", "_y").alias("_hi")), "blocked"
+    )
+    apart = placed.where("_lo < _hi").select(F.col("_lo").alias("i"), F.col("_hi").alias("j")).distinct()
+    scores = sparse.score_pairs(apart, vectors).toDF("_lo", "_hi", "_score")
+    cosine = F.when(F.col("_lo") == F.col("_hi"), 1.0).otherwise(F.coalesce("_score", F.lit(0.0)))
+    blocked = placed.join(scores, ["_lo", "_hi"], "left").select("i", "j", cosine.alias("cosine"))
+    return found.unionByName(blocked)
 
 
 def feature_names(fields: Sequence[FieldSpec]) -> list[str]:

@@ -362,6 +362,31 @@ UNION ALL SELECT leader, row_id, 1.0 FROM leaders WHERE row_id <> leader""",
     )
 
 
+def blocked(fields: list[str], keys: list[tuple[str, ...]]) -> list[str]:
+    """``candidates`` of ``records`` and the pairs that agree in a key, which holds the description."""
+    whole = [" AND ".join(f"coalesce({c}, '') NOT IN ('', 'MISSING')" for c in key) for key in keys]
+    inside = [
+        f"SELECT a.record_id AS i, b.record_id AS j FROM classes a JOIN classes b USING ({', '.join(key)}) "
+        f"WHERE a.record_id = a.head AND b.record_id = b.head AND a.record_id < b.record_id AND {test}"
+        for key, test in zip(keys, whole, strict=True)
+    ]
+    return [
+        cte("classes", f"SELECT *, min(record_id) OVER (PARTITION BY {', '.join(fields)}) AS head FROM records"),
+        cte(
+            "same_block",
+            "\nUNION ".join(inside)
+            + "\nUNION SELECT head, record_id FROM classes WHERE record_id <> head AND ("
+            + " OR ".join(f"({test})" for test in whole)
+            + ")",
+        ),
+        cte(
+            "blocked",
+            """SELECT i, j, score FROM candidates
+UNION ALL SELECT i, j, 1.0 FROM same_block ANTI JOIN candidates USING (i, j)""",
+        ),
+    ]
+
+
 def clusters(record_table: str, record_id: str, threshold: float) -> list[str]:
     return (
         [cte("links", f"SELECT i, j, score FROM candidates WHERE score > {threshold}")]
@@ -434,14 +459,15 @@ JOIN f{n}_len u ON u.row_id = p.i JOIN f{n}_len v ON v.row_id = p.j GROUP BY p.i
 
 
 _R_FIELDS = [(c, "text") for c in _CLEANED] + [("document_number", "string")]
-_r_pairs = RECORDS + [
-    cte(
-        "first_records",
-        """SELECT * EXCLUDE (rn), record_id AS row_id FROM (SELECT *, row_number() OVER
-  (PARTITION BY source_description ORDER BY record_id) AS rn FROM records) WHERE rn = 1""",
+_r_pairs = (
+    RECORDS
+    + candidates("records", "record_id", 0.7)
+    + blocked(
+        [*_CLEANED, "document_number", "source_company"],
+        [("source_description", "target_id"), ("source_description", "document_number")],
     )
-] + pairs("t", "first_records", 0.7)
-_r_features = features(_R_FIELDS, "first_records", "t_pairs")
+)
+_r_features = features(_R_FIELDS, "records", "blocked")
 _d_records = D_CANDIDATES + [cte("text_records", "SELECT *, row_id AS record_id FROM texts")]
 _d_features = features(
     [("source_description", "text"), ("document_number", "string")], "text_records", "candidates"
@@ -764,6 +790,7 @@ WHERE source_id IS NOT NULL AND target_id IS NOT NULL GROUP BY ALL""",
 FROM (SELECT count(*) AS records FROM records)""",
     ),
     "R_pair_features": statement(_r_pairs + _r_features[0], _r_features[1]),
+    "R_candidates_blocked": statement(_r_pairs, "SELECT i, j, round(score, 6) AS cosine FROM blocked"),
     "R_linkage_report": statement(
         RECORDS + candidates("records", "record_id", 0.7) + clusters("records", "records.record_id", 0.7),
         f"""SELECT cluster_id, c.record_id, round(confidence_score, 6) AS confidence_score,

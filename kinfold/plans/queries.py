@@ -542,16 +542,20 @@ def R_sample_size(spark, folder):
 
 @query
 def R_pair_features(spark, folder):
-    records = linkage.linkage_records(_combined(spark, folder))
-    first = materialize(
-        dedup.first_of_each(records, "source_description", ["record_id"], "record_id"), "first"
-    )
-    vectors = sparse.text_vectors(first, "record_id", "source_description")
-    pairs = sparse.similar_pairs(vectors, R_THRESHOLD).select("i", "j")
-    features = linkage.pair_features(pairs, first)
+    records = materialize(linkage.linkage_records(_combined(spark, folder)), "records")
+    pairs = linkage.candidate_pairs(records, min_cosine=R_THRESHOLD, blocks=linkage.BLOCKS)
+    features = linkage.pair_features(pairs.select("i", "j"), records)
     return rounded(features, *[f"{f.name}_similarity" for f in linkage.FIELDS])
 
 
+@query
+def R_candidates_blocked(spark, folder):
+    records = materialize(linkage.linkage_records(_combined(spark, folder)), "records")
+    return rounded(
+        linkage.candidate_pairs(records, min_cosine=R_THRESHOLD, blocks=linkage.BLOCKS), "cosine"
+    )
+
+
 @query
 def R_linkage_report(spark, folder):
     records = materialize(linkage.linkage_records(_combined(spark, folder)), "records")

@@ -267,6 +267,35 @@ def test_copies_are_candidates_with_their_first_record_only(rows):
     assert got == {(0, n) for n in range(1, 20)} | {(0, 30)}
 
 
+BLOCKED = "record_id long, source_description string, target_id string, document_number string"
+
+
+def test_records_of_a_block_are_candidates_whatever_the_first_record_is(rows):
+    same = "same words in this text"
+    data = [(1, same, "a", "d1"), (2, same, "b", "d2"), (3, same, "b", "d2"), (4, same, "b", "d3"), (5, same, None, "d3")]
+    data += [(6, "quite another one", "b", "d2"), (7, None, "b", "d2"), (8, None, "b", "d2")]
+    records = rows(data, BLOCKED)
+    plain = as_set(linkage.candidate_pairs(records).select("i", "j"))
+    found = linkage.candidate_pairs(records, blocks=linkage.BLOCKS)
+    assert as_set(found.select("i", "j")) - plain == {(2, 3), (2, 4), (4, 5)}
+    assert {r.cosine for r in found.where("i = 2").collect()} == {1.0}
+    apart = linkage.candidate_pairs(records, blocks=[("target_id",)])
+    assert {(r.i, r.j): r.cosine for r in apart.where("j = 6").collect()} == {(2, 6): 0.0, (4, 6): 0.0}
+    assert linkage.block_pairs(records.limit(0), linkage.BLOCKS).isEmpty()
+
+
+def test_blocks_of_many_rows_lose_no_pair(rows):
+    data = [(n, "text", f"t{n % 2}", f"d{n // 40}") for n in range(120)]
+    records = rows(data, BLOCKED)
+    classes = {}
+    for n, *values in data:
+        classes.setdefault(tuple(values), []).append(n)
+    heads = {v[0]: k for k, v in classes.items()}
+    want = {(v[0], n) for v in classes.values() for n in v[1:]}
+    want |= {(a, b) for a in heads for b in heads if a < b and (heads[a][1] == heads[b][1] or heads[a][2] == heads[b][2])}
+    assert as_set(linkage.block_pairs(records, linkage.BLOCKS)) == want
+
+
 @pytest.mark.parametrize("slices", [1, 4, 64])
 @pytest.mark.parametrize("beta", [0.5, 1.0, 2.0])
 def test_optimal_threshold_equals_a_plain_scan(rows, slices, beta):
