@@ -92,7 +92,8 @@ def crossing_pairs(
 
     ``labels(row_id, component)`` covers connected rows, others stand alone. Within a bucket the
     members of its largest component need no pairs among themselves, so only the rest is compared
-    with the bucket; a bucket inside one component costs nothing.
+    with the bucket; a bucket inside one component costs nothing. Both sides are cut into chunks, so a
+    join key holds about ``chunk`` rows a side.
     """
     placed = postings.join(labels, "row_id", "left").withColumn(
         "component", F.coalesce("component", "row_id")
@@ -107,21 +108,33 @@ def crossing_pairs(
             F.sum("n").alias("rows"),
         )
         .where(F.col("components") > 1)
-        .select(key, F.col("top.component").alias("top"), F.col("rows"))
+        .select(
+            key, F.col("top.component").alias("top"), "rows", (F.col("rows") - F.col("top.n")).alias("rest")
+        )
     )
     mixed = placed.join(largest, key)
-    parts = F.greatest(F.ceil(F.col("rows") / chunk).cast("int"), F.lit(1))
+
+    def chunks(rows: str) -> Column:
+        return F.greatest(F.ceil(F.col(rows) / chunk).cast("int"), F.lit(1))
+
+    def own(rows: str) -> Column:
+        return F.pmod(F.xxhash64("row_id"), chunks(rows)).cast("int")
+
     minor = (
         mixed.where(F.col("component") != F.col("top"))
-        .withColumn("_cell", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .withColumn("_part", own("rest"))
+        .withColumn("_cell", F.explode(F.sequence(F.lit(0), chunks("rows") - 1)))
         .alias("a")
     )
-    every = mixed.withColumn(
-        "_cell", F.pmod(F.xxhash64("row_id"), parts).cast("int")
-    ).alias("b")
+    every = (
+        mixed.withColumn("_cell", own("rows"))
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), chunks("rest") - 1)))
+        .alias("b")
+    )
     on = (
         (F.col(f"a.{key}") == F.col(f"b.{key}"))
         & (F.col("a._cell") == F.col("b._cell"))
+        & (F.col("a._part") == F.col("b._part"))
         & (F.col("a.component") != F.col("b.component"))
         & ((F.col("b.component") == F.col("b.top")) | (F.col("a.row_id") < F.col("b.row_id")))
     )
