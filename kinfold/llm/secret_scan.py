@@ -6,12 +6,15 @@ identifiers and the surrounding text still needs many bytes for it. The marginal
 the compressed size of its context with it, less the size without it, both primed with a dictionary of
 the most frequent assigned names of all documents. Readable names cost little, random strings much.
 
+A run of candidate characters is cut at its assignment signs and at base spans. Each piece is scored alone,
+and the words before it, those of its own run (``private_key=...``) and those after it are its context.
+
 Texts are scanned whole, in one pass of tasks without a shuffle. The dictionary is counted over all
 documents with map-side sums; only its ``DICTIONARY_NAMES`` most frequent names reach the driver.
 
 Nulls and edges: a null text is an empty one and has no spans (redaction leaves it null); a base span
-stays whatever the method says; candidates that touch a base span are not reported twice; repeated rows
-are scanned alike; other columns are untouched. An empty table gives an empty result.
+stays whatever the method says; what a base span covers is not reported twice, the rest of its run is
+scored; the name of a base assignment is no candidate; repeated rows are scanned alike; other columns are untouched. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,14 +38,16 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a longest run of hex digits, of 32 or more
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ["assign", "access", "hex", "novel"]
 
-#: Words that make the 64 characters after them a sensitive context.
+#: Words that make the 64 characters on either side of them a sensitive context.
 SENSITIVE = re.compile(
     r"(?ai:secret|token|passw|pwd|api|key|auth|cred|bearer|private|access|signature|cookie|session)"
 )
-CONTEXT_BEFORE = 64
-#: Candidates: runs of this length or more, with a digit and a letter.
+CONTEXT = 64
+#: Candidates: runs of this length or more, and what assigns a value inside one (``=`` at its end pads it).
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.DOTALL)
+SIGN = re.compile(r"=+(?!=|$)")
+#: Least lengths of a name, and of a value (as in base assignments); beside a base span any length counts.
+NAME_LEAST, VALUE_LEAST = 16, 8
 #: Characters around a candidate that the compressor sees.
 SURROUNDING = 256
 #: Least marginal compressed bytes for each character of a candidate.
@@ -80,16 +85,32 @@ def novelty(compressor: zstandard.ZstdCompressor, text: str, start: int, end: in
     return (size(before + text[start:end] + after) - size(before + after)) / (end - start)
 
 
+def pieces(text: str, start: int, end: int, known: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of a run that may be secrets: outside base spans and assignment signs."""
+    inside = [k for k in known if k[1] < end and start < k[2]]
+    signs = [(start + m.start(), start + m.end()) for m in SIGN.finditer(text[start:end])]
+    cuts = sorted([*signs, *((s, e) for _, s, e in inside), (end, end)])
+    of_name = {s for s, _ in signs} | {s for kind, s, _ in inside if kind == "assign"}
+    assigned = {s for kind, s, _ in inside if kind == "assign"}
+    edges = {at for _, s, e in inside for at in (s, e)}
+    at = start
+    for s, e in cuts:
+        if s > at and s not in assigned:
+            least = NAME_LEAST if s in of_name else 1 if edges & {at, s} else VALUE_LEAST
+            if s - at >= least:
+                yield at, s
+        at = max(at, e)
+
+
 def novel_spans(compressor: zstandard.ZstdCompressor, text: str, known: list[Span]) -> list[Span]:
     found = []
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if not MIXED.match(m.group()) or any(s < end and start < e for _, s, e in known):
-            continue
-        if not SENSITIVE.search(text, max(0, start - CONTEXT_BEFORE), start):
-            continue
-        if novelty(compressor, text, start, end) >= NOVELTY:
-            found.append(("novel", start, end))
+        for start, end in pieces(text, *m.span(), known):
+            before = SENSITIVE.search(text, max(0, start - CONTEXT), start)
+            if not before and not SENSITIVE.search(text, end, end + CONTEXT):
+                continue
+            if novelty(compressor, text, start, end) >= NOVELTY:
+                found.append(("novel", start, end))
     return found
 
 

@@ -207,3 +207,30 @@ def test_redaction(docs):
     assert texts[0] is None and texts[1] == "" and "hunter2" not in texts[2] and texts[2].endswith("token: abc")
     assert all(not brute_spans(t) for t in texts.values() if t)
     assert secret_scan.scan(docs([])).count() == 0
+
+
+WHOLE = [
+    ("private_key={}", "Zk39vQ7LpW2xTn8RbY5mHcD4"),
+    ("AUTH={}", "Zk39vQ7LpW2xTn8RbY5mHcD4"),
+    ("session_cookie={}", "Zk39vQ7LpW2xTn8RbY5mHcD4=="),
+    ("pwd={}", "Zk39vQ7LpW2xTn8R"),
+    ("bearer {} ends", "KxQzWvTrNmLpHgFdSbYcJkZq"),
+    ("{} is the password", "Zk39vQ7LpW2xTn8RbY5mHcD4"),
+    ("bearer {}", "Zk3QvL8w" + "9f86d081884c7d659a2feaa0c55ad015" + "TqXy9"),
+]
+
+
+def test_no_part_of_a_secret_stays(docs):
+    """Names inside the run, words after it and base spans in it leave no part of the secret unseen."""
+    texts = [form.format(secret) for form, secret in WHOLE]
+    names = b"session_cookie\nprivate_key"
+    rows = {r["doc_id"]: r["spans"] for r in secret_scan.scan(docs(texts), dictionary=names).collect()}
+    for k, (form, secret) in enumerate(WHOLE):
+        at = form.index("{}")
+        covered = {c for s in rows[k] for c in range(s["start"], s["end"])}
+        assert covered == set(range(at, at + len(secret))), texts[k]
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs(texts), names).collect()}
+    assert out[0] == "private_key=[novel]" and out[6] == "bearer [novel][hex][novel]"
+    free = ["the flower Zk39vQ7LpW2xTn8RbY5mHcD4 grows", "my_own_long_token=abcdefgh12"]
+    kinds = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan(docs(free)).collect()}
+    assert kinds == {0: [], 1: ["assign"]}
