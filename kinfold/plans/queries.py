@@ -40,6 +40,7 @@ V_THRESHOLD = 0.4
 D_LEVELS = sweep.threshold_list(0.6, 0.99, 30)
 V_LEVELS = sweep.threshold_list(0.36, 0.6, 30)
 D_FIELDS = [FieldSpec("source_description"), FieldSpec("document_number", STRING)]
+D_BLOCKS = [("source_description", "document_number")]
 SAMPLED_GROUPS = 5
 ASKED_PAIRS = 20
 
@@ -556,6 +557,27 @@ def R_candidates_blocked(spark, folder):
     )
 
 
+def _r_labels(records: DataFrame) -> DataFrame:
+    """``(is_match, i, j)``: every record with the first one of its source, which matches, and with the
+    first one of its document if that has another source."""
+    slim = records.select("record_id", "source_id", "document_number")
+
+    def with_first(key: str) -> DataFrame:
+        first = slim.groupBy(key).agg(F.min(F.struct("record_id", "source_id")).alias("first"))
+        return slim.join(first, key).where(F.col("first.record_id") < F.col("record_id"))
+
+    pair = [F.col("first.record_id").alias("i"), F.col("record_id").alias("j")]
+    same = with_first("source_id").select(F.lit(True).alias("is_match"), *pair)
+    other = with_first("document_number").where(F.col("first.source_id") != F.col("source_id"))
+    return same.unionByName(other.select(F.lit(False).alias("is_match"), *pair))
+
+
+@query
+def R_linkage_run(spark, folder):
+    records = materialize(linkage.linkage_records(_combined(spark, folder)), "records")
+    return link.link(records, labels=_r_labels(records), min_cosine=R_THRESHOLD).report
+
+
 @query
 def R_linkage_report(spark, folder):
     records = materialize(linkage.linkage_records(_combined(spark, folder)), "records")
@@ -586,7 +608,8 @@ def D_pair_scores(spark, folder):
     sample = linkage.training_sample(labels, linkage.sample_size(records.count()))
     training = materialize(linkage.pair_features(sample, records, D_FIELDS), "training")
     model = linkage.train_scorer(training, D_FIELDS)
-    pairs = linkage.candidate_pairs(records, min_cosine=D_CANDIDATES).select("i", "j")
+    candidates = linkage.candidate_pairs(records, min_cosine=D_CANDIDATES, blocks=D_BLOCKS)
+    pairs = candidates.select("i", "j")
     return linkage.score_pairs(linkage.pair_features(pairs, records, D_FIELDS), model)
 
 

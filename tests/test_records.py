@@ -9,6 +9,7 @@ from kinfold.operators import dedup, embed, extract, linkage, review, sparse, un
 from kinfold.operators.linkage import STRING, FieldSpec
 from kinfold.operators.ordinals import with_ordinal, with_part
 from kinfold.plans import link
+from kinfold.plans.queries import QUERIES
 from kinfold.sources import files
 from kinfold.sources.schemas import RELATIONSHIP_COLUMNS, RELATIONSHIP_HEADERS
 
@@ -429,3 +430,22 @@ def test_cluster_and_label_json(spark, tmp_path):
 def test_missing_file_is_an_error(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         link.link_file(spark, "/tmp/no-such-file.csv")
+
+
+def test_scored_pairs_hold_every_pair_of_a_block(rows, spark, tmp_path):
+    """Two further copies of a text in one document are scored, though the first copy is elsewhere."""
+    same = "the very same words stand in this text"
+    data = [(1, same, "x", "a"), (2, same, "x", "b"), (3, same, "y", "b"), (4, same, "y", "c")]
+    data += [(k, f"quite another text number {k} about {k * k}", "x", "a") for k in range(5, 12)]
+    docs = rows([(*r, len(r[1])) for r in data], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pairs = as_set(QUERIES["D_pair_scores"](spark, str(tmp_path)).select("i", "j"))
+    assert {(1, 2), (1, 3), (1, 4), (2, 3)} <= pairs and (2, 4) not in pairs
+
+
+def test_linkage_run_compares_seven_fields(spark):
+    report = QUERIES["R_linkage_run"](spark, "/root/testdata/sf0.001")
+    ids = [r.record_id for r in report.collect()]
+    records = QUERIES["R_linkage_records"](spark, "/root/testdata/sf0.001")
+    assert sorted(ids) == sorted(r.record_id for r in records.collect())
+    assert 1 < report.select("cluster_id").distinct().count() < len(ids)
