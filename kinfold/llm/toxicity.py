@@ -161,8 +161,14 @@ def fitted(present: list[np.ndarray], toxic: np.ndarray, vocabulary: list[str])
     return Model(float(b), {word: float(k) for word, k in zip(vocabulary, w, strict=True)})
 
 
-def sampled_features(rows: DataFrame, vocabulary: list[str], share: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """Word numbers and labels of a sample of the training rows, drawn by a hash of the text."""
+def sampled_features(
+    rows: DataFrame, vocabulary: list[str], share: float, key: str = "doc_id", most: int = TRAINING_ROWS
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """Word numbers and labels of a sample of the training rows, of ``most`` rows at most.
+
+    Rows equal in id, text and label are one unit, which takes its count times ``share`` places, rounded
+    up or down by a hash of the unit. Copies of a text under several ids are drawn apart.
+    """
     at = {w: k for k, w in enumerate(vocabulary)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,14 +177,20 @@ def sampled_features(rows: DataFrame, vocabulary: list[str], share: float) -> tu
                 sorted(at[w] for w in at.keys() & terms_of(t))
                 for t in batch.column(0).to_pylist()
             ]
-            columns = [pa.array(found, pa.list_(pa.int32())), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["words", "toxic"])
+            columns = [pa.array(found, pa.list_(pa.int32())), *batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["words", "toxic", "places", "drawn"])
 
     million = 1_000_000
-    chosen = rows.where(F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(million)) < int(share * million) + 1)
-    sample = chosen.select("text", "toxic").mapInArrow(run, "words array<int>, toxic int")
+    drawn = F.xxhash64(F.col(key).cast("string"), "text", "toxic", F.lit(SEED))
+    units = rows.groupBy(key, "text", "toxic").agg(F.count("*").alias("_n")).withColumn("drawn", drawn)
+    places = F.floor(F.col("_n") * F.lit(share) + F.pmod("drawn", F.lit(million)) / million).cast("long")
+    chosen = units.select("text", "toxic", places.alias("places"), "drawn").where("places > 0")
+    sample = chosen.mapInArrow(run, "words array<int>, toxic int, places long, drawn long")
+    # One row a place; what chance drew beyond the bound goes by hashes of unit and place.
+    placed = sample.select("words", "toxic", "drawn", F.explode(F.sequence(F.lit(1), F.col("places").cast("int"))).alias("_k"))
+    bound = placed.orderBy(F.xxhash64("drawn", "_k"), "words", "toxic").limit(most).select("words", "toxic")
     # Sorted here, so that the weights do not depend on the order in which tasks end.
-    rows_ = sorted((r["words"], r["toxic"]) for r in sample.collect())
+    rows_ = sorted((r["words"], r["toxic"]) for r in bound.collect())
     return [np.array(words, dtype=int) for words, _ in rows_], np.array([float(t) for _, t in rows_])
 
 
@@ -192,7 +204,7 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     terms = [term for group in IDENTITY_SETS for term in group]
     telling = [w for w in telling_words(word_statistics(rows), n, toxic) if w not in terms]
     vocabulary = telling + terms
-    present, target = sampled_features(rows, vocabulary, min(1.0, TRAINING_ROWS / n))
+    present, target = sampled_features(rows, vocabulary, min(1.0, TRAINING_ROWS / n), key)
     if len(target) == 0 or target.min() == target.max():
         return Model(math.log((toxic + 0.5) / (n - toxic + 0.5)))
     return fitted(present, target, vocabulary)

@@ -224,3 +224,14 @@ def test_sharding_edges(docs):
     assert sorted(r["slot"] for r in few) == [0, 0, 0] and len({r["shard"] for r in few}) == 3
     same = docs([(1, "x", "en", "a")] * 20)
     assert Counter(Counter(r["shard"] for r in shards_of(same)).values()) == {1: 12, 2: 4}
+
+
+@pytest.mark.parametrize("alike", ["texts", "rows"])
+def test_toxicity_sample_is_bounded_and_weighs_a_hot_text(spark, alike):
+    """A third of all rows is one text, under ids of its own or in equal rows: it has a third of the sample."""
+    hot = [(1000 + (k if alike == "texts" else 0), "hot", 1) for k in range(300)]
+    rows = spark.createDataFrame([(k, f"w{k}", k % 2) for k in range(600)] + hot, "doc_id long, text string, toxic int")
+    words, toxic = toxicity.sampled_features(rows, ["hot"], 90 / 900, "doc_id", 90)
+    assert 70 <= len(words) == len(toxic) <= 90
+    assert 15 <= sum(len(w) for w in words) <= 45
+    assert len(toxicity.sampled_features(rows, ["hot"], 1.0, "doc_id", 90)[0]) == 90
