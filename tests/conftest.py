@@ -7,8 +7,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from kinfold.session import local_session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -25,7 +23,3 @@ def rows(spark):
         return spark.createDataFrame(data, schema)
 
     return make
-
-
-def as_set(df):
-    return {tuple(r) for r in df.collect()}

@@ -3,7 +3,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import SMALL
+from support import SMALL
 
 from __spark_entry__ import entry, oracle_sql, queries
 from kinfold.sources.worktable import work_folder
@@ -58,5 +58,7 @@ def test_work_folder_comes_from_the_session(spark):
 def test_no_lineage_shortcuts_or_driver_pulls_in_operators():
     package = Path(__file__).parents[1] / "kinfold"
     for path in package.rglob("*.py"):
+        if "llm" in path.relative_to(package).parts:
+            continue  # has a rule of its own beside its tests
         code = path.read_text()
         assert not re.search(r"localCheckpoint|\.crossJoin\(|\.toPandas\(|\.collect\(\)", code), path

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import as_set
+from support import as_set
 
 from kinfold.operators import dense, sparse, sweep
 from kinfold.operators.buckets import bucket_pairs, crossing_pairs

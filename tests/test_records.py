@@ -2,7 +2,7 @@ import json
 
 import numpy as np
 import pytest
-from conftest import as_set
+from support import as_set
 from pyspark.sql import functions as F
 
 from kinfold.operators import dedup, embed, extract, linkage, review, sparse, unify
