@@ -1,25 +1,9 @@
-import sys
-from pathlib import Path
-
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
-
-from kinfold.session import local_session  # noqa: E402
-
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    session = local_session("tests", "4", shuffle_partitions=4)
-    session.sparkContext.setLogLevel("ERROR")
-    if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("work")))
-    yield session
-
-
 @pytest.fixture
 def docs(spark):
     """Makes a table like ``documents`` from texts or from (id, text, lang, source) rows."""
