@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import langid, mixing, packing, quality, secret_scan, sharding, simhash, topk, toxicity, url_filter
+from kinfold.llm import (
+    alignment,
+    langid,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    simhash,
+    topk,
+    toxicity,
+    url_filter,
+    vector_codes,
+)
 from kinfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +93,19 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.verdicts(table(spark, folder, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, folder, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.alignments(table(spark, folder, "documents"))
+
+
+def op13_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = minhash.components(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Query] = {
     "op1_url_filter": op1_url_filter,
     "op2_secret_scan": op2_secret_scan,
@@ -90,6 +117,9 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -12,6 +12,8 @@ BOUNDED = {
     "langid.py": 2,  # rows by language; the sample's texts
     "secret_scan.py": 1,  # names of the dictionary
     "url_filter.py": 1,  # rows by label
+    "vector_codes.py": 2,  # entries of the codebooks: the first rows, and their sums
+    "alignment.py": 1,  # a slice of the pair counts
 }
 
 
@@ -19,7 +21,7 @@ def test_only_bounded_tables_reach_the_driver():
     for path in PACKAGE.glob("*.py"):
         code = path.read_text()
         assert not re.search(r"localCheckpoint|\.crossJoin\(|\.toPandas\(", code), path
-        assert code.count(".collect()") <= BOUNDED.get(path.name, 0), path
+        assert len(re.findall(r"\.collect\(\)|\.toArrow\(\)", code)) <= BOUNDED.get(path.name, 0), path
 
 
 def test_nothing_else_imports_the_subpackage():
