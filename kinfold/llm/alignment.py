@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import Counter
+import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -41,6 +42,10 @@ WINDOW = 64
 KNOWN_WINDOWS = 200_000
 #: About how many id pairs with their counts are sent to the tasks at once.
 SLICE = 1_000_000
+#: Added to the ids of the right side in a window's key, which no id of the left side reaches.
+RIGHT = 1 << 30
+#: Links of a group that are listed one by one.
+MANY = 4096
 SPACE_MARK = "▁"
 Pairs = tuple[np.ndarray, np.ndarray]
 
@@ -88,14 +93,16 @@ def side_table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(t) for t in tokens]), np.array([t[:1] == b" " for t in tokens])
 
 
-@dataclass(frozen=True)
-class Window:
-    """The alignment of a window: groups as text, their number, and linked pairs with multiplicities."""
+class Window(NamedTuple):
+    """The alignment of a window: its groups as text, and the linked pairs.
+
+    ``keys`` has one 64-bit number a link; groups of more than ``MANY`` links are in ``large``, as distinct
+    pairs with multiplicities.
+    """
 
     groups: str
-    n_groups: int
-    keys: np.ndarray
-    times: np.ndarray
+    keys: bytes
+    large: list[Pairs]
 
 
 def merged(keys: np.ndarray, times: np.ndarray) -> Pairs:
@@ -107,30 +114,25 @@ def merged(keys: np.ndarray, times: np.ndarray) -> Pairs:
 
 
 def linked(left: list[int], right: list[int], width: int) -> Pairs:
-    """All pairs of a group's ids, as ``left * width + right``, with multiplicities."""
-    a, b = (tuple(zip(*sorted(Counter(ids).items()), strict=True)) for ids in (left, right))
-    keys = np.add.outer(np.array(a[0], dtype=np.int64) * width, np.array(b[0], dtype=np.int64))
-    return keys.ravel(), np.multiply.outer(np.array(a[1]), np.array(b[1])).ravel()
-
-
-def aligned_window(left: list[int], right: list[int], a_tokens: list[bytes], b_tokens: list[bytes]) -> Window:
-    """Groups between the byte offsets at which tokens of both sides end."""
-    texts, pairs = [], []
-    i = j = 0
-    while i < len(left):
-        first_a, first_b = i, j
-        ends_a, ends_b = len(a_tokens[left[i]]), len(b_tokens[right[j]])
-        i, j = i + 1, j + 1
-        while ends_a != ends_b:
-            if ends_a < ends_b:
-                ends_a, i = ends_a + len(a_tokens[left[i]]), i + 1
-            else:
-                ends_b, j = ends_b + len(b_tokens[right[j]]), j + 1
-        a, b = left[first_a:i], right[first_b:j]
+    """The distinct id pairs of a group, as ``left * width + right``, with multiplicities."""
+    a, b = (np.unique(np.array(ids, dtype=np.int64), return_counts=True) for ids in (left, right))
+    return np.add.outer(a[0] * width, b[0]).ravel(), np.multiply.outer(a[1], b[1]).ravel()
+
+
+def aligned_window(groups: list[tuple[list[int], list[int]]], width: int) -> Window:
+    """A window's groups, each given by the ids of both sides."""
+    texts, keys, large = [], [], []
+    for a, b in groups:
+        if len(a) == len(b) == 1:
+            texts.append(f"{a[0]}|{b[0]}")
+            keys.append(a[0] * width + b[0])
+            continue
         texts.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-        pairs.append(linked(a, b, len(b_tokens)))
-    keys, times = merged(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
-    return Window(";".join(texts), len(texts), keys, times)
+        if len(a) * len(b) <= MANY:
+            keys += [x * width + y for x in a for y in b]
+        else:
+            large.append(linked(a, b, width))
+    return Window(";".join(texts), struct.pack(f"{len(keys)}q", *keys), large)
 
 
 class Aligner:
@@ -139,20 +141,10 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteSide(a_path), PieceSide(b_path)
         self.of_a, self.of_b = side_table(self.a.tokens), side_table(self.b.tokens)
-        self.known: dict[tuple[bytes, bytes], Window] = {}
-
-    def window(self, left: bytes, right: bytes) -> Window:
-        found = self.known.get((left, right))
-        if found is None:
-            ids = [np.frombuffer(side, dtype=np.uint32).tolist() for side in (left, right)]
-            found = aligned_window(*ids, self.a.tokens, self.b.tokens)
-            if len(left) + len(right) <= 4 * WINDOW:
-                if len(self.known) >= KNOWN_WINDOWS:
-                    self.known.clear()
-                self.known[left, right] = found
-        return found
-
-    def encoded(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        #: Windows by their id tuples: the ids of ``a``, then those of ``b`` with ``RIGHT`` added.
+        self.known: dict[bytes, Window] = {}
+
+    def encoded(self, text: str | None) -> tuple[list[int], list[int]] | None:
         """Ids of both sides, or none if either does not spell the text with a space before it."""
         if not text:
             return None
@@ -162,33 +154,58 @@ class Aligner:
             ids = side.encode(text)
             if b"".join(map(side.tokens.__getitem__, ids)) != whole:
                 return None
-            sides.append(np.array(ids, dtype=np.uint32))
+            sides.append(ids)
         return sides[0], sides[1]
 
-    def anchors(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
-        """The windows between shared ends that both sides follow by a token with a space in front."""
-        ends_a, ends_b = self.of_a[0][a].cumsum(), self.of_b[0][b].cumsum()
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+    def windows(self, left: list[int], right: list[int]) -> tuple[int, list[Window]]:
+        """The number of groups, and the windows between anchors: shared ends that both sides follow by a token
+        with a space in front."""
+        a, b = np.array(left, dtype=np.uint32), np.array(right, dtype=np.uint32)
+        _, at_a, at_b = np.intersect1d(
+            self.of_a[0][a].cumsum(), self.of_b[0][b].cumsum(), assume_unique=True, return_indices=True
+        )
         # The last shared end is the end of the text; a window ends there whatever follows.
         marked = self.of_a[1][a[at_a[:-1] + 1]] & self.of_b[1][b[at_b[:-1] + 1]]
-        cut = np.append(marked, True)
-        starts = [np.append(0, 4 * (at[cut] + 1)).tolist() for at in (at_a, at_b)]
-        left, right = a.tobytes(), b.tobytes()
-        for p, q, r, s in zip(starts[0], starts[0][1:], starts[1], starts[1][1:], strict=False):
-            yield left[p:q], right[r:s]
+        cut = np.append(np.flatnonzero(marked), len(at_a) - 1) + 1
+        of_a, of_b = np.append(0, at_a + 1), np.append(0, at_b + 1)
+        from_a, from_b = np.append(0, of_a[cut]), np.append(0, of_b[cut])
+        # One array with every window's ids side by side.
+        ids = np.empty(len(a) + len(b), dtype=np.uint32)
+        ids[np.arange(len(a)) + np.repeat(from_b[:-1], np.diff(from_a))] = a
+        ids[np.arange(len(b)) + np.repeat(from_a[1:], np.diff(from_b))] = b + RIGHT
+        edges = (4 * (from_a + from_b)).tolist()
+        spelled = list(map(ids.tobytes().__getitem__, map(slice, edges, edges[1:])))
+        found = list(map(self.known.get, spelled))
+        if None in found:
+            of_a, of_b, groups = of_a.tolist(), of_b.tolist(), [0, *cut.tolist()]
+            for k, window in enumerate(found):
+                if window is None:
+                    window = found[k] = self.known.get(spelled[k]) or aligned_window(
+                        [
+                            (left[of_a[g] : of_a[g + 1]], right[of_b[g] : of_b[g + 1]])
+                            for g in range(groups[k], groups[k + 1])
+                        ],
+                        len(self.b.tokens),
+                    )
+                    if len(spelled[k]) <= 4 * WINDOW:
+                        self.known[spelled[k]] = window
+            if len(self.known) > KNOWN_WINDOWS:
+                self.known.clear()
+        return len(at_a), found
 
     def document(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """Tokens a side, groups, links, the groups' digest, and distinct pairs with multiplicities."""
         sides = self.encoded(text)
         if sides is None:
             return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
-        windows = [self.window(left, right) for left, right in self.anchors(*sides)]
-        keys, times = merged(
-            np.concatenate([w.keys for w in windows]), np.concatenate([w.times for w in windows])
-        )
-        digest = hashlib.sha256(";".join([w.groups for w in windows]).encode()).hexdigest()
-        groups = sum(w.n_groups for w in windows)
-        return len(sides[0]), len(sides[1]), groups, int(times.sum()), digest, keys, times
+        n_groups, windows = self.windows(*sides)
+        groups, keys, large = zip(*windows, strict=True)
+        keys, times = np.unique(np.frombuffer(b"".join(keys), dtype=np.int64), return_counts=True)
+        if any(large):
+            more = chain.from_iterable(large)
+            keys, times = merged(*(np.concatenate(x) for x in zip((keys, times), *more, strict=True)))
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+        return len(sides[0]), len(sides[1]), n_groups, int(times.sum()), digest, keys, times
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
