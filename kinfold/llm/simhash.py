@@ -179,27 +179,41 @@ def bucket_links(prints: DataFrame, max_bits: int, chunk: int = CHUNK) -> DataFr
     return ordered.mapInArrow(run, "i long, j long")
 
 
-def components(
-    docs: DataFrame, key: str = "doc_id", shingle: int = 3, max_bits: int = 2
-) -> DataFrame:
-    """``(key, fp, component_id)``: the smallest id reachable over links of at most ``max_bits`` bits."""
-    rows = materialize(fingerprints(docs, key, shingle), "prints")
+def _named(rows: DataFrame, key: str, max_bits: int) -> DataFrame:
+    """``(fp, label, component_id)``: each print's component and its smallest id, from written ``(key, fp)``."""
     distinct = materialize(rows.groupBy("fp").agg(F.min(key).alias("_first")), "distinct")
     linked = connected_components(materialize(bucket_links(distinct, max_bits), "links"))
     labelled = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(
         "fp", F.coalesce("component", "fp").alias("_label"), "_first"
     )
     lowest = labelled.groupBy("_label").agg(F.min("_first").alias("component_id"))
-    named = materialize(labelled.join(lowest, "_label").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select(key, "fp", "component_id")
+    return materialize(labelled.join(lowest, "_label").select("fp", "_label", "component_id"), "named")
+
+
+def components(
+    docs: DataFrame, key: str = "doc_id", shingle: int = 3, max_bits: int = 2
+) -> DataFrame:
+    """``(key, fp, component_id)``: the smallest id reachable over links of at most ``max_bits`` bits."""
+    rows = materialize(fingerprints(docs, key, shingle), "prints")
+    return rows.join(_named(rows, key, max_bits).drop("_label"), "fp").select(key, "fp", "component_id")
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The documents of ``docs`` whose id names their group, one row an id.
+    """One document of each group of ``docs``: that with the smallest id, then the smallest hash of its columns.
 
-    Rows with a null id belong to no named group and stay.
+    A document is told by its id and a hash of all its columns, so rows that share an id are kept apart, and
+    rows that are equal in every column are one document. Null ids come after all others.
     """
-    kept = components(docs.where(F.col(key).isNotNull()), key, shingle, max_bits)
-    kept = kept.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    chosen = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
-    return chosen.select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    fields = [F.col(f"`{c}`") for c in docs.columns]
+    # Nested columns are hashed as JSON; a null counts besides the values, which hashes pass over.
+    nested = [t.startswith(("map", "struct", "array")) for _, t in docs.dtypes]
+    values = [F.to_json(c) if deep else c for c, deep in zip(fields, nested, strict=True)]
+    marked = docs.withColumn("_hash", F.xxhash64(*values, *(c.isNull() for c in fields)))
+    rows = fingerprints(marked.select(F.struct(key, "_hash").alias("_unit"), "text"), "_unit", shingle)
+    rows = materialize(rows.select(f"_unit.{key}", "_unit._hash", "fp"), "prints")
+    label = rows.join(_named(rows.select(key, "fp"), key, max_bits).select("fp", "_label"), "fp")
+    order = F.struct(F.col(key).isNull(), F.col(key).alias("id"), F.col("_hash").alias("hash"))
+    first = label.groupBy("_label").agg(F.min(order).alias("_first"))
+    first = materialize(first.select(F.col("_first.id").alias("_id"), F.col("_first.hash").alias("_hash")), "survivors")
+    chosen = marked.join(first, (F.col(key).eqNullSafe(F.col("_id"))) & (marked["_hash"] == first["_hash"]), "left_semi")
+    return chosen.dropDuplicates([key, "_hash"]).select(docs.columns)

@@ -1,15 +1,17 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
-Words that tell toxic texts are found by their document frequencies in all labelled training rows: the
+Words that tell toxic texts are found by their document frequencies in the labelled training rows: the
 ``FEATURES`` words and prefixes with the largest likelihood ratios, and the identity terms. A logistic model over the
 presence of these words is fitted on a bounded sample. For every labelled sentence with an identity
-term, a counterfactual swaps the term for another of its set, and the loss adds ``FAIRNESS`` times the squared
-change of the score, so that mentions of a group alone move no score. Since the model is linear in
-presence, the penalty acts on the difference of the two texts' features, and identity sets whose terms are in no
-labelled text are tied together by one template sentence a pair.
+term, a counterfactual text swaps each identity term for another of its set, and the loss adds ``FAIRNESS`` times
+the squared change of the score, so that mentions of a group alone move no score. Since the model is linear in
+presence, the penalty acts on the difference of the two texts' features, prefixes included, and every identity
+term has one template sentence besides.
 
-The statistics are one pass with map-side sums over the labelled rows; scoring is one pass over all
-texts, each whole. Only the chosen words, their weights and the sample's word numbers reach the driver.
+What is fitted on is drawn from the labels first, two narrow columns: at most ``LABELLED`` rows by a hash of id and
+label. The documents meet that bounded table alone and their texts are written once, for the word
+statistics and for the sample. Scoring is one pass over all texts, each whole. Only the chosen words, their weights
+and the sample's word numbers reach the driver.
 
 Nulls and edges: a null or empty text has no words and scores by the intercept; null labels are not
 trained on; an id with labels that disagree counts once for each; without both labels every text scores
@@ -29,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import fold, text_of
+from kinfold.llm.common import fold, materialize, text_of
 
 FOLDS = 5
 FEATURES = 400
 #: Least training documents that hold a word.
 LEAST_DOCS = 3
-#: Bound on the labelled rows that the weights are fitted on.
+#: Bound on the labels that are drawn for training, and on the labelled rows that the weights are fitted on.
+LABELLED = 20_000
 TRAINING_ROWS = 6_000
 FAIRNESS = 5.0
 #: Weight of the squared weights, over the number of training rows.
@@ -61,7 +64,6 @@ IDENTITY_SETS = [
     ["disabled", "deaf", "blind"],
 ]
 TOKEN = re.compile(r"[^\W\d_]+")
-TOKEN_SQL = r"[^\p{L}\p{M}]+"
 
 
 def terms_of(text: str) -> set[str]:
@@ -70,6 +72,12 @@ def terms_of(text: str) -> set[str]:
     return words | {w[:PREFIX] + "~" for w in words if len(w) > PREFIX}
 
 
+def swapped(text: str) -> str:
+    """The counterfactual text: every identity term replaced by its set's next one."""
+    swap = swaps()
+    return TOKEN.sub(lambda m: swap.get(m[0], m[0]), text.lower())
+
+
 @dataclass
 class Model:
     intercept: float = -30.0
@@ -80,24 +88,28 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``(key, text, toxic)`` of the labelled rows outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", most: int = LABELLED) -> DataFrame:
+    """``(key, text, toxic)`` of the rows of at most ``most`` labels outside the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull()).select(key, F.col("toxic").cast("int").alias("toxic"))
-    known = known.where(fold(key, FOLDS) != 0).distinct()
-    return docs.select(key, text_of().alias("text")).join(known, key)
+    known = known.where((fold(key, FOLDS) != 0) & F.col(key).isNotNull()).distinct()
+    draw = F.xxhash64(F.col(key).cast("string"), "toxic", F.lit(SEED))
+    drawn = known.orderBy(draw, key, "toxic").limit(most)
+    # ``most`` rows of two numbers.
+    return docs.select(key, text_of().alias("text")).join(F.broadcast(drawn), key)
 
 
 def word_statistics(rows: DataFrame) -> DataFrame:
-    """``(word, n, toxic)``: training documents, and toxic ones, that hold each word."""
-    words = F.array_distinct(F.split(F.lower("text"), TOKEN_SQL))
-    prefixes = F.array_distinct(
-        F.transform(
-            F.filter("_words", lambda w: F.length(w) > PREFIX),
-            lambda w: F.concat(F.substring(w, 1, PREFIX), F.lit("~")),
-        )
-    )
-    terms = F.explode(F.concat("_words", prefixes)).alias("word")
-    held = rows.select("toxic", words.alias("_words")).select("toxic", terms).where("word != ''")
+    """``(word, n, toxic)``: training documents, and toxic ones, that hold each word or prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(terms_of(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"]
+            )
+
+    held = rows.select("text", "toxic").mapInArrow(run, "words array<string>, toxic int")
+    held = held.select(F.explode("words").alias("word"), "toxic")
     return held.groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic"))
 
 
@@ -122,17 +134,16 @@ def swaps() -> dict[str, str]:
     return {term: group[(k + 1) % len(group)] for group in IDENTITY_SETS for k, term in enumerate(group)}
 
 
-def differences(present: list[np.ndarray], vocabulary: list[str]) -> np.ndarray:
-    """One row a labelled text with identity terms: its features less those of its counterfactual.
+def differences(present: list[np.ndarray], other: list[np.ndarray], vocabulary: list[str]) -> np.ndarray:
+    """One row a labelled text that its counterfactual differs from: its features less those of the other.
 
-    Identity sets have a template row for each of their terms besides, so that none is left free.
+    Each identity term has a template row besides, so that none is left free.
     """
-    at, swap = {w: k for k, w in enumerate(vocabulary)}, swaps()
-    rows = [({at[term]}, {at[other]}) for term, other in swap.items()]
-    terms = {at[t]: at[o] for t, o in swap.items()}
-    for words in present:
-        if own := terms.keys() & set(words.tolist()):
-            rows.append((own, {terms[k] for k in own}))
+    at = {w: k for k, w in enumerate(vocabulary)}
+    numbers = lambda term: {at[w] for w in terms_of(term) if w in at}
+    rows = [(numbers(term), numbers(swap)) for term, swap in swaps().items()]
+    rows += [(set(own.tolist()), set(new.tolist())) for own, new in zip(present, other, strict=True)]
+    rows = [(had, has) for had, has in rows if had != has]
     out = np.zeros((len(rows), len(vocabulary)))
     for row, (had, has) in enumerate(rows):
         out[row, sorted(had - has)] = 1.0
@@ -140,12 +151,12 @@ def differences(present: list[np.ndarray], vocabulary: list[str]) -> np.ndarray:
     return out
 
 
-def fitted(present: list[np.ndarray], toxic: np.ndarray, vocabulary: list[str]) -> Model:
+def fitted(present: list[np.ndarray], other: list[np.ndarray], toxic: np.ndarray, vocabulary: list[str]) -> Model:
     """Weights by full-batch Adam: logistic loss, L2, and the counterfactual penalty."""
     x = np.zeros((len(present), len(vocabulary)), dtype=np.float32)
     for row, words in enumerate(present):
         x[row, words] = 1.0
-    change = differences(present, vocabulary)
+    change = differences(present, other, vocabulary)
     w, b = np.zeros(x.shape[1]), math.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5))
     balance = np.where(toxic == 1, 0.5 / max(toxic.mean(), 1e-6), 0.5 / max(1 - toxic.mean(), 1e-6))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -164,7 +175,15 @@ def fitted(present: list[np.ndarray], toxic: np.ndarray, vocabulary: list[str])
 def sampled_features(
     rows: DataFrame, vocabulary: list[str], share: float, key: str = "doc_id", most: int = TRAINING_ROWS
 ) -> tuple[list[np.ndarray], np.ndarray]:
-    """Word numbers and labels of a sample of the training rows, of ``most`` rows at most.
+    """Word numbers and labels of the sample of ``sampled_pairs``."""
+    present, _, toxic = sampled_pairs(rows, vocabulary, share, key, most)
+    return present, toxic
+
+
+def sampled_pairs(
+    rows: DataFrame, vocabulary: list[str], share: float, key: str = "doc_id", most: int = TRAINING_ROWS
+) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Word numbers, those of the counterfactuals, and labels of a sample of at most ``most`` training rows.
 
     Rows equal in id, text and label are one unit, which takes its count times ``share`` places, rounded
     up or down by a hash of the unit. Copies of a text under several ids are drawn apart.
@@ -172,31 +191,34 @@ def sampled_features(
     at = {w: k for k, w in enumerate(vocabulary)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = lambda text: sorted(at[w] for w in at.keys() & terms_of(text))
+        kind = pa.list_(pa.int32())
         for batch in batches:
-            found = [
-                sorted(at[w] for w in at.keys() & terms_of(t))
-                for t in batch.column(0).to_pylist()
-            ]
-            columns = [pa.array(found, pa.list_(pa.int32())), *batch.columns[1:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["words", "toxic", "places", "drawn"])
+            texts = batch.column(0).to_pylist()
+            found = [pa.array([numbers(t) for t in some], kind) for some in (texts, map(swapped, texts))]
+            columns = [*found, *batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["words", "other", "toxic", "places", "drawn"])
 
     million = 1_000_000
     drawn = F.xxhash64(F.col(key).cast("string"), "text", "toxic", F.lit(SEED))
     units = rows.groupBy(key, "text", "toxic").agg(F.count("*").alias("_n")).withColumn("drawn", drawn)
     places = F.floor(F.col("_n") * F.lit(share) + F.pmod("drawn", F.lit(million)) / million).cast("long")
     chosen = units.select("text", "toxic", places.alias("places"), "drawn").where("places > 0")
-    sample = chosen.mapInArrow(run, "words array<int>, toxic int, places long, drawn long")
+    sample = chosen.mapInArrow(run, "words array<int>, other array<int>, toxic int, places long, drawn long")
     # One row a place; what chance drew beyond the bound goes by hashes of unit and place.
-    placed = sample.select("words", "toxic", "drawn", F.explode(F.sequence(F.lit(1), F.col("places").cast("int"))).alias("_k"))
-    bound = placed.orderBy(F.xxhash64("drawn", "_k"), "words", "toxic").limit(most).select("words", "toxic")
+    place = F.explode(F.sequence(F.lit(1), F.col("places").cast("int"))).alias("_k")
+    fields = ["words", "other", "toxic"]
+    placed = sample.select(*fields, "drawn", place)
+    bound = placed.orderBy(F.xxhash64("drawn", "_k"), *fields).limit(most).select(*fields)
     # Sorted here, so that the weights do not depend on the order in which tasks end.
-    rows_ = sorted((r["words"], r["toxic"]) for r in bound.collect())
-    return [np.array(words, dtype=int) for words, _ in rows_], np.array([float(t) for _, t in rows_])
+    found = sorted((r["words"], r["other"], r["toxic"]) for r in bound.collect())
+    present, other = ([np.array(r[k], dtype=int) for r in found] for k in (0, 1))
+    return present, other, np.array([float(r[2]) for r in found])
 
 
 def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     """A model from the labelled rows outside the held-out fold."""
-    rows = training_rows(docs, labels, key)
+    rows = materialize(training_rows(docs, labels, key), "training")
     counts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     n, toxic = counts["n"], counts["toxic"]
     if toxic in (0, n):
@@ -204,10 +226,10 @@ def trained(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     terms = [term for group in IDENTITY_SETS for term in group]
     telling = [w for w in telling_words(word_statistics(rows), n, toxic) if w not in terms]
     vocabulary = telling + terms
-    present, target = sampled_features(rows, vocabulary, min(1.0, TRAINING_ROWS / n), key)
+    present, other, target = sampled_pairs(rows, vocabulary, min(1.0, TRAINING_ROWS / n), key)
     if len(target) == 0 or target.min() == target.max():
         return Model(math.log((toxic + 0.5) / (n - toxic + 0.5)))
-    return fitted(present, target, vocabulary)
+    return fitted(present, other, target, vocabulary)
 
 
 def scored(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:

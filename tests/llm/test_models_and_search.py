@@ -235,3 +235,27 @@ def test_toxicity_sample_is_bounded_and_weighs_a_hot_text(spark, alike):
     assert 70 <= len(words) == len(toxic) <= 90
     assert 15 <= sum(len(w) for w in words) <= 45
     assert len(toxicity.sampled_features(rows, ["hot"], 1.0, "doc_id", 90)[0]) == 90
+
+
+def test_prefixes_of_identity_terms_are_part_of_the_swap():
+    """A prefix feature that tells the label because a group's name is in toxic texts moves no score."""
+    vocabulary = ["vile", "musli~", *(t for group in toxicity.IDENTITY_SETS for t in group)]
+    at = {w: k for k, w in enumerate(vocabulary)}
+    draw = np.random.default_rng(6)
+    texts, toxic = [], []
+    for k in range(400):
+        bad = k % 3 == 0
+        words = ["vile"] * bad + ["muslim"] * (draw.random() < (0.9 if bad else 0.1))
+        texts.append(" ".join(words))
+        toxic.append(float(bad))
+    numbers = lambda t: np.array(sorted(at[w] for w in toxicity.terms_of(t) if w in at), dtype=int)
+    model = toxicity.fitted(
+        [numbers(t) for t in texts], [numbers(toxicity.swapped(t)) for t in texts], np.array(toxic), vocabulary
+    )
+    assert abs(model.score("muslim people") - model.score("christian people")) < 0.05
+    assert model.score("vile people") > 0.9
+
+
+def test_labels_are_drawn_before_texts_are_read(spark):
+    docs, labels = toxic_table(spark, 300)
+    assert toxicity.training_rows(docs, labels, most=50).count() == 50

@@ -171,3 +171,14 @@ def test_simhash_edges(docs):
     assert simhash.components(docs([])).count() == 0
     kept = simhash.survivors(rows.unionByName(rows))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4] and kept.columns == rows.columns
+
+
+def test_survivors_are_one_of_each_group(docs):
+    copy, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(1, copy, "en", "a"), (1, other, "en", "a"), (2, copy, "en", "a"), (None, other, "en", "b"),
+            (None, "thirteen fourteen fifteen sixteen", "en", "b"), (3, copy, "en", "a"), (1, copy, "en", "a"),
+            (4, None, None, None), (5, "", "en", "a")]
+    kept = simhash.survivors(docs(rows).selectExpr("*", "7 AS fp", "8 AS node")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(
+        [(1, copy), (1, other), (None, "thirteen fourteen fifteen sixteen"), (4, None)], key=repr)
+    assert simhash.survivors(docs([])).count() == 0
