@@ -152,17 +152,18 @@ def block_pairs(
 
 def candidate_pairs(
     records: DataFrame,
+    blocks: Sequence[Sequence[str]],
     text_col: str = "source_description",
     min_cosine: float = 0.5,
     id_col: str = "record_id",
-    blocks: Sequence[Sequence[str]] = (),
 ) -> DataFrame:
     """``(i, j, cosine)``: the pairs worth scoring.
 
     The first record of every distinct text is compared with the other first records by an exact
     similarity join; each copy of a text is a candidate with that first record. A text held by a
     third of all records therefore adds one pair per copy, and every record stays connected. Records
-    that share one of the ``blocks`` are candidates besides, whatever their cosine.
+    that share one of the ``blocks`` are candidates besides, whatever their cosine; without any block, copies of a text
+    are compared with its first record alone.
     """
     keyed = materialize(
         records.select(F.col(id_col).alias("row_id"), text_col).withColumn(

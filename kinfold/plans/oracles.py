@@ -362,20 +362,30 @@ UNION ALL SELECT leader, row_id, 1.0 FROM leaders WHERE row_id <> leader""",
     )
 
 
-def blocked(fields: list[str], keys: list[tuple[str, ...]]) -> list[str]:
-    """``candidates`` of ``records`` and the pairs that agree in a key, which holds the description."""
+def blocked(
+    fields: list[str], keys: list[tuple[str, ...]], record_table: str = "records", record_id: str = "record_id"
+) -> list[str]:
+    """``candidates`` and the pairs of records that agree in a key, which holds the description.
+
+    Records equal in all ``fields`` are one class: every two different classes of a key are a pair of their
+    smallest records, and each record is paired with the smallest of its class.
+    """
     whole = [" AND ".join(f"coalesce({c}, '') NOT IN ('', 'MISSING')" for c in key) for key in keys]
     inside = [
-        f"SELECT a.record_id AS i, b.record_id AS j FROM classes a JOIN classes b USING ({', '.join(key)}) "
-        f"WHERE a.record_id = a.head AND b.record_id = b.head AND a.record_id < b.record_id AND {test}"
+        f"SELECT a.id AS i, b.id AS j FROM classes a JOIN classes b USING ({', '.join(key)}) "
+        f"WHERE a.id = a.head AND b.id = b.head AND a.id < b.id AND {test}"
         for key, test in zip(keys, whole, strict=True)
     ]
     return [
-        cte("classes", f"SELECT *, min(record_id) OVER (PARTITION BY {', '.join(fields)}) AS head FROM records"),
+        cte(
+            "classes",
+            f"SELECT {', '.join(fields)}, {record_id} AS id, "
+            f"min({record_id}) OVER (PARTITION BY {', '.join(fields)}) AS head FROM {record_table}",
+        ),
         cte(
             "same_block",
             "\nUNION ".join(inside)
-            + "\nUNION SELECT head, record_id FROM classes WHERE record_id <> head AND ("
+            + "\nUNION SELECT head, id FROM classes WHERE id <> head AND ("
             + " OR ".join(f"({test})" for test in whole)
             + ")",
         ),
@@ -389,7 +399,7 @@ UNION ALL SELECT i, j, 1.0 FROM same_block ANTI JOIN candidates USING (i, j)""",
 
 def clusters(record_table: str, record_id: str, threshold: float) -> list[str]:
     return (
-        [cte("links", f"SELECT i, j, score FROM candidates WHERE score > {threshold}")]
+        [cte("links", f"SELECT i, j, score FROM blocked WHERE score > {threshold}")]
         + components("linked", "links")
         + [
             cte(
@@ -408,7 +418,10 @@ LEFT JOIN confidence ON confidence.node = {record_id}""",
     )
 
 
-D_CANDIDATES = D + candidates("texts", "row_id", 0.5)
+_D_FIELDS = ["source_description", "document_number", "source_company", "target_id", "n_chars"]
+D_CANDIDATES = (
+    D + candidates("texts", "row_id", 0.5) + blocked(_D_FIELDS, [("source_description",)], "texts", "row_id")
+)
 D_CLUSTERS = (
     D_CANDIDATES
     + clusters("texts", "row_id", 0.9)
@@ -470,7 +483,7 @@ _r_pairs = (
 _r_features = features(_R_FIELDS, "records", "blocked")
 _d_records = D_CANDIDATES + [cte("text_records", "SELECT *, row_id AS record_id FROM texts")]
 _d_features = features(
-    [("source_description", "text"), ("document_number", "string")], "text_records", "candidates"
+    [("source_description", "text"), ("document_number", "string")], "text_records", "blocked"
 )
 
 # Evaluation: clusters from the groups at 0.9, truth from the labelled pairs.
@@ -792,14 +805,14 @@ FROM (SELECT count(*) AS records FROM records)""",
     "R_pair_features": statement(_r_pairs + _r_features[0], _r_features[1]),
     "R_candidates_blocked": statement(_r_pairs, "SELECT i, j, round(score, 6) AS cosine FROM blocked"),
     "R_linkage_report": statement(
-        RECORDS + candidates("records", "record_id", 0.7) + clusters("records", "records.record_id", 0.7),
+        _r_pairs + clusters("records", "records.record_id", 0.7),
         f"""SELECT cluster_id, c.record_id, round(confidence_score, 6) AS confidence_score,
   document_number, source_company, source_id, source_english_id,
   {_cut('source_description')} AS source_description, target_english_id
 FROM clusters c JOIN records r ON r.record_id = c.record_id""",
     ),
     "D_candidates_blocked": statement(
-        D_CANDIDATES, "SELECT i, j, round(score, 6) AS cosine FROM candidates"
+        D_CANDIDATES, "SELECT i, j, round(score, 6) AS cosine FROM blocked"
     ),
     "D_pair_features": statement(_d_records + _d_features[0], _d_features[1]),
     "D_optimal_threshold": statement(
@@ -808,7 +821,7 @@ FROM clusters c JOIN records r ON r.record_id = c.record_id""",
             cte(
                 "runs",
                 """SELECT score, sum(n) OVER w AS k, sum(e) OVER w AS e, sum(e) OVER () AS total FROM (
-  SELECT score, count(*) AS n, sum(score) AS e FROM candidates GROUP BY score)
+  SELECT score, count(*) AS n, sum(score) AS e FROM blocked GROUP BY score)
 WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)""",
             )
         ],
@@ -822,7 +835,7 @@ ORDER BY value DESC, score DESC LIMIT 1""",
     ),
     "D_label_candidates": statement(
         D_CANDIDATES + LABELLED,
-        """SELECT i, j, round(score, 6) AS score FROM candidates
+        """SELECT i, j, round(score, 6) AS score FROM blocked
 ANTI JOIN labelled ON k1 = i AND k2 = j ORDER BY abs(score - 0.5), i, j LIMIT 20""",
     ),
     "D_cluster_header": statement(D_CLUSTERS, "SELECT * FROM headers"),

@@ -40,7 +40,7 @@ V_THRESHOLD = 0.4
 D_LEVELS = sweep.threshold_list(0.6, 0.99, 30)
 V_LEVELS = sweep.threshold_list(0.36, 0.6, 30)
 D_FIELDS = [FieldSpec("source_description"), FieldSpec("document_number", STRING)]
-D_BLOCKS = [("source_description", "document_number")]
+D_BLOCKS = [("source_description",)]
 SAMPLED_GROUPS = 5
 ASKED_PAIRS = 20
 
@@ -125,7 +125,7 @@ def _d_records(spark, folder) -> DataFrame:
 
 def _d_scored(spark, folder) -> DataFrame:
     """Candidates with their cosine standing in for a match probability."""
-    pairs = linkage.candidate_pairs(_d_records(spark, folder), min_cosine=D_CANDIDATES)
+    pairs = linkage.candidate_pairs(_d_records(spark, folder), D_BLOCKS, min_cosine=D_CANDIDATES)
     return pairs.select("i", "j", F.col("cosine").alias("score"))
 
 
@@ -581,7 +581,7 @@ def R_linkage_run(spark, folder):
 @query
 def R_linkage_report(spark, folder):
     records = materialize(linkage.linkage_records(_combined(spark, folder)), "records")
-    pairs = linkage.candidate_pairs(records, min_cosine=R_THRESHOLD)
+    pairs = linkage.candidate_pairs(records, linkage.BLOCKS, min_cosine=R_THRESHOLD)
     scored = pairs.select("i", "j", F.col("cosine").alias("score"))
     clusters = linkage.partition(records, scored, R_THRESHOLD)
     return rounded(linkage.linkage_report(clusters, records), "confidence_score")
@@ -589,14 +589,14 @@ def R_linkage_report(spark, folder):
 
 @query
 def D_candidates_blocked(spark, folder):
-    pairs = linkage.candidate_pairs(_d_records(spark, folder), min_cosine=D_CANDIDATES)
+    pairs = linkage.candidate_pairs(_d_records(spark, folder), D_BLOCKS, min_cosine=D_CANDIDATES)
     return rounded(pairs, "cosine")
 
 
 @query
 def D_pair_features(spark, folder):
     records = _d_records(spark, folder)
-    pairs = linkage.candidate_pairs(records, min_cosine=D_CANDIDATES).select("i", "j")
+    pairs = linkage.candidate_pairs(records, D_BLOCKS, min_cosine=D_CANDIDATES).select("i", "j")
     features = linkage.pair_features(pairs, records, D_FIELDS)
     return rounded(features, *[f"{f.name}_similarity" for f in D_FIELDS])
 

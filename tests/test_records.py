@@ -262,10 +262,11 @@ def test_pair_features(rows):
     assert got[1, 3] == (0.0, 1, 0.0, 1) and got[1, 4] == (1.0, 0, 1.0, 0)
 
 
-def test_copies_are_candidates_with_their_first_record_only(rows):
-    data = [(n, "same words in this text", "d") for n in range(20)] + [(30, "same words in this note", "d"), (31, "something else", "d")]
-    got = as_set(linkage.candidate_pairs(rows(data, RECORD)).select("i", "j"))
-    assert got == {(0, n) for n in range(1, 20)} | {(0, 30)}
+def test_copies_are_candidates_with_each_other(rows):
+    same = "same words in this text"
+    data = [(n, same, f"d{n}") for n in range(20)] + [(30, "same words in this note", "d"), (31, "something else", "d")]
+    got = as_set(linkage.candidate_pairs(rows(data, RECORD), [("source_description",)]).select("i", "j"))
+    assert got == {(a, b) for a in range(20) for b in range(a + 1, 20)} | {(0, 30)}
 
 
 BLOCKED = "record_id long, source_description string, target_id string, document_number string"
@@ -276,7 +277,7 @@ def test_records_of_a_block_are_candidates_whatever_the_first_record_is(rows):
     data = [(1, same, "a", "d1"), (2, same, "b", "d2"), (3, same, "b", "d2"), (4, same, "b", "d3"), (5, same, None, "d3")]
     data += [(6, "quite another one", "b", "d2"), (7, None, "b", "d2"), (8, None, "b", "d2")]
     records = rows(data, BLOCKED)
-    plain = as_set(linkage.candidate_pairs(records).select("i", "j"))
+    plain = as_set(linkage.candidate_pairs(records, []).select("i", "j"))
     found = linkage.candidate_pairs(records, blocks=linkage.BLOCKS)
     assert as_set(found.select("i", "j")) - plain == {(2, 3), (2, 4), (4, 5)}
     assert {r.cosine for r in found.where("i = 2").collect()} == {1.0}
