@@ -486,6 +486,88 @@ _d_features = features(
     [("source_description", "text"), ("document_number", "string")], "text_records", "blocked"
 )
 
+# Average linkage: one best pair a step, from all scores of the clusters that are left.
+_BEST = """SELECT u AS lo, v AS hi, nu + nv AS n FROM step
+  WHERE kind = 0 AND w / (nu * nv * 1e9) > {cut} ORDER BY w / (nu * nv * 1e9) DESC, u, v LIMIT 1"""
+
+
+def average_linkage(cut: float) -> list[str]:
+    """``units(node, n)`` of equal texts, and ``placed(node, cluster, n)`` from ``c_pairs`` and ``texts``."""
+    best = _BEST.format(cut=cut)
+    return [
+        cte("units", "SELECT source_description, min(row_id) AS node, count(*) AS n FROM texts GROUP BY ALL"),
+        cte(
+            "start",
+            """SELECT 0 AS k, 0 AS kind, i AS u, j AS v, CAST(round(score * 1e9) * a.n * b.n AS DOUBLE) AS w,
+  a.n AS nu, b.n AS nv FROM c_pairs JOIN units a ON a.node = i JOIN units b ON b.node = j
+UNION ALL SELECT 0, 1, node, node, 0, 0, 0 FROM units""",
+        ),
+        f"""step AS (
+SELECT * FROM start
+UNION ALL
+SELECT k + 1, kind, u, v, sum(w), max(nu), max(nv) FROM (
+  SELECT k, 0 AS kind, least(a, b) AS u, greatest(a, b) AS v, w,
+    CASE WHEN a < b THEN na ELSE nb END AS nu, CASE WHEN a < b THEN nb ELSE na END AS nv
+  FROM (
+    SELECT s.k, s.w, CASE WHEN s.u = m.hi THEN m.lo ELSE s.u END AS a, CASE WHEN s.v = m.hi THEN m.lo ELSE s.v END AS b,
+      CASE WHEN s.u IN (m.lo, m.hi) THEN m.n ELSE s.nu END AS na,
+      CASE WHEN s.v IN (m.lo, m.hi) THEN m.n ELSE s.nv END AS nb
+    FROM step s, ({best}) m WHERE s.kind = 0)
+  WHERE a <> b
+  UNION ALL
+  SELECT s.k, 1, s.u, CASE WHEN s.v = m.hi THEN m.lo ELSE s.v END, 0, 0, 0 FROM step s, ({best}) m WHERE s.kind = 1)
+GROUP BY k, kind, u, v
+)""",
+        cte(
+            "placed",
+            """SELECT u AS node, v AS cluster, n, source_description FROM step JOIN units ON node = u
+WHERE kind = 1 AND k = (SELECT max(k) FROM step)""",
+        ),
+        cte(
+            "given",
+            """SELECT node, sum(s) AS s FROM (
+  SELECT i AS node, score * b.n AS s FROM c_pairs JOIN placed a ON a.node = i JOIN placed b ON b.node = j
+  WHERE a.cluster = b.cluster
+  UNION ALL
+  SELECT j, score * a.n FROM c_pairs JOIN placed a ON a.node = i JOIN placed b ON b.node = j
+  WHERE a.cluster = b.cluster) GROUP BY node""",
+        ),
+        cte("totals", "SELECT cluster, sum(n) AS records FROM placed GROUP BY cluster"),
+    ]
+
+
+# Block predicates: keys of the records of ``texts`` in long form.
+_WORDS = r"list_filter(regexp_split_to_array(lower(source_description), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+PREDICATES = D + [
+    cte("word_list", f"SELECT row_id, {_WORDS} AS w FROM texts WHERE coalesce(source_description, '') NOT IN ('', 'MISSING')"),
+    cte("held", "SELECT DISTINCT row_id, unnest(w) AS word FROM word_list"),
+    cte("shared", "SELECT word, count(*) AS n FROM held GROUP BY word HAVING count(*) > 1"),
+    cte(
+        "keys",
+        """SELECT row_id, 'whole_source_description' AS predicate, source_description AS key FROM texts
+UNION ALL SELECT row_id, 'prefix_source_description_8', left(lower(source_description), 8) FROM texts
+UNION ALL SELECT row_id, 'prefix_source_description_20', left(lower(source_description), 20) FROM texts
+UNION ALL SELECT row_id, 'first_words_source_description_5', array_to_string(w[1:5], ' ') FROM word_list WHERE len(w) >= 5
+UNION ALL (SELECT row_id, 'rare_source_description', word FROM held JOIN shared USING (word)
+  QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY n, word) = 1)
+UNION ALL SELECT row_id, 'whole_document_number', document_number FROM texts""",
+    ),
+    cte("keyed", "SELECT * FROM keys WHERE key NOT IN ('', 'MISSING')"),
+    cte("block_sizes", "SELECT predicate, key, count(*) AS n FROM keyed GROUP BY ALL HAVING count(*) > 1"),
+    cte(
+        "costs",
+        """SELECT predicate, count(*) AS blocks, max(n) AS largest, CAST(sum(n * (n - 1) / 2) AS DOUBLE) AS comparisons
+FROM block_sizes GROUP BY predicate""",
+    ),
+]
+_FOUND = LABELLED + [
+    cte(
+        "hits",
+        """SELECT a.predicate, k1, k2 FROM (SELECT DISTINCT k1, k2 FROM labelled WHERE is_match)
+JOIN keyed a ON a.row_id = k1 JOIN keyed b ON b.row_id = k2 AND b.predicate = a.predicate AND b.key = a.key""",
+    )
+]
+
 # Evaluation: clusters from the groups at 0.9, truth from the labelled pairs.
 CLUSTERED = D_PAIRS + [above("t_pairs", 0.9)] + components("groups", "edges") + [
     cte("found", "SELECT node AS item_key, component AS cluster_id FROM groups")
@@ -833,6 +915,33 @@ ORDER BY value DESC, score DESC LIMIT 1""",
         D_CLUSTERS,
         "SELECT cluster_id, record_id, round(confidence_score, 6) AS confidence_score FROM clusters",
     ),
+    "D_linkage_average": statement(
+        D_CANDIDATES + average_linkage(0.7),
+        """SELECT cluster AS cluster_id, row_id AS record_id,
+  round(CASE WHEN records > 1 THEN (coalesce(s, 0.0) + n - 1) / (records - 1) ELSE 1.0 END, 6) AS confidence_score
+FROM texts t JOIN placed p ON p.source_description IS NOT DISTINCT FROM t.source_description
+JOIN totals USING (cluster) LEFT JOIN given USING (node)""",
+    ),
+    "D_predicate_costs": statement(
+        PREDICATES + _FOUND,
+        """SELECT predicate, coalesce(blocks, 0) AS blocks, coalesce(largest, 0) AS largest,
+  coalesce(comparisons, 0.0) AS comparisons, (SELECT count(*) FROM hits h WHERE h.predicate = p.predicate) AS matches
+FROM (SELECT DISTINCT predicate FROM keys) p LEFT JOIN costs USING (predicate)""",
+    ),
+    "D_predicate_pairs": statement(
+        PREDICATES
+        + [
+            cte("classes", f"SELECT row_id, min(row_id) OVER (PARTITION BY {', '.join(_D_FIELDS)}) AS head FROM texts"),
+            cte(
+                "used",
+                """SELECT * FROM keyed JOIN classes USING (row_id)
+WHERE predicate IN ('rare_source_description', 'prefix_source_description_20')""",
+            ),
+        ],
+        """SELECT DISTINCT a.row_id AS i, b.row_id AS j FROM used a JOIN used b USING (predicate, key)
+WHERE a.row_id < b.row_id AND a.row_id = a.head AND b.row_id = b.head
+UNION SELECT head, row_id FROM used WHERE row_id <> head""",
+    ),
     "D_label_candidates": statement(
         D_CANDIDATES + LABELLED,
         """SELECT i, j, round(score, 6) AS score FROM blocked

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from kinfold.functions.text import clean_text, composite_key
 from kinfold.functions.vectors import cosine, parse_vector
 from kinfold.operators import (
+    agglomerate,
     dedup,
     dense,
     embed,
     evaluate,
     extract,
     linkage,
+    predicates,
     review,
     sparse,
     stats,
@@ -23,6 +25,7 @@ from kinfold.operators import (
     unify,
 )
 from kinfold.operators.linkage import STRING, FieldSpec
+from kinfold.operators.predicates import FIRST_WORDS, MINHASH, PREFIX, RARE, WHOLE, Predicate
 from kinfold.plans import link, resolve
 from kinfold.sources import testbed
 from kinfold.sources.files import json_columns
@@ -41,6 +44,16 @@ D_LEVELS = sweep.threshold_list(0.6, 0.99, 30)
 V_LEVELS = sweep.threshold_list(0.36, 0.6, 30)
 D_FIELDS = [FieldSpec("source_description"), FieldSpec("document_number", STRING)]
 D_BLOCKS = [("source_description",)]
+D_AVERAGE = 0.7
+D_PREDICATES = [
+    Predicate(WHOLE, "source_description"),
+    Predicate(PREFIX, "source_description", 8),
+    Predicate(PREFIX, "source_description", 20),
+    Predicate(FIRST_WORDS, "source_description", 5),
+    Predicate(RARE, "source_description"),
+    Predicate(WHOLE, "document_number"),
+]
+D_BANDS = [Predicate(MINHASH, "source_description", band) for band in range(1, 7)]
 SAMPLED_GROUPS = 5
 ASKED_PAIRS = 20
 
@@ -624,6 +637,55 @@ def D_linkage_clusters(spark, folder):
     return rounded(clusters, "confidence_score")
 
 
+@query
+def D_linkage_average(spark, folder):
+    records = _d_records(spark, folder)
+    clusters = agglomerate.average_partition(
+        records, _d_scored(spark, folder), D_AVERAGE, same=["source_description"]
+    )
+    return rounded(clusters, "confidence_score")
+
+
+def _d_matches(spark, folder) -> DataFrame:
+    return _d_labels(spark, folder).where("is_match").select("i", "j")
+
+
+@query
+def D_predicate_costs(spark, folder):
+    """What each block predicate costs, and the labelled matches that it finds."""
+    keyed = predicates.with_keys(_d_records(spark, folder), D_PREDICATES)
+    found = predicates.found_matches(keyed, _d_matches(spark, folder), D_PREDICATES)
+    bit = lambda k: F.count_if(F.col("found").bitwiseAND(F.lit(1 << k).cast("long")) != 0)
+    counts = found.agg(*(bit(k).alias(p.name) for k, p in enumerate(D_PREDICATES)))
+    each = F.array(*(F.struct(F.lit(p.name).alias("predicate"), F.col(p.name).alias("matches")) for p in D_PREDICATES))
+    return predicates.predicate_costs(keyed, D_PREDICATES).join(counts.select(F.inline(each)), "predicate")
+
+
+@query
+def D_block_choice(spark, folder):
+    """The greedy choice of block predicates, up to a recall of 0.95 on the labelled matches."""
+    keyed = predicates.with_keys(_d_records(spark, folder), D_PREDICATES)
+    choices = predicates.chosen_predicates(keyed, _d_matches(spark, folder), D_PREDICATES)
+    return rounded(predicates.choice_table(choices, keyed), "recall")
+
+
+@query
+def D_block_choice_bands(spark, folder):
+    """As ``D_block_choice``, with MinHash bands among the predicates."""
+    every = [*D_PREDICATES, *D_BANDS]
+    keyed = predicates.with_keys(_d_records(spark, folder), every)
+    choices = predicates.chosen_predicates(keyed, _d_matches(spark, folder), every, recall=1.0)
+    return rounded(predicates.choice_table(choices, keyed), "recall")
+
+
+@query
+def D_predicate_pairs(spark, folder):
+    """Candidate pairs of the prefix and the rarest-word predicates."""
+    used = [p for p in D_PREDICATES if p.kind == RARE or (p.kind, p.size) == (PREFIX, 20)]
+    keyed = predicates.with_keys(_d_records(spark, folder), used)
+    return linkage.block_pairs(keyed, [(p.key,) for p in used])
+
+
 @query
 def D_label_candidates(spark, folder):
     labels = _d_labels(spark, folder)
