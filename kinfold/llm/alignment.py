@@ -20,6 +20,7 @@ documents each; null ids are allowed; extra columns are ignored; an empty table
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -65,8 +66,8 @@ class ByteSide:
         for token, rank in ranks.items():
             self.tokens[rank] = token
 
-    def encode(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(" " + text)
+    def encode(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(" " + text, disallowed_special=())
 
 
 class PieceSide:
@@ -84,8 +85,8 @@ class PieceSide:
             return bytes([int(piece[3:-1], 16)])
         return piece.replace(SPACE_MARK, " ").encode()
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text, num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, num_threads=1), dtype=np.uint32)
 
 
 def side_table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,15 +120,20 @@ def linked(left: list[int], right: list[int], width: int) -> Pairs:
     return np.add.outer(a[0] * width, b[0]).ravel(), np.multiply.outer(a[1], b[1]).ravel()
 
 
-def aligned_window(groups: list[tuple[list[int], list[int]]], width: int) -> Window:
-    """A window's groups, each given by the ids of both sides."""
+def aligned_window(
+    left: list[int], right: list[int], of_a: list[int], of_b: list[int], first: int, last: int, names: list[str], width: int
+) -> Window:
+    """The groups ``first .. last`` of a text, which begin at ``of_a`` and ``of_b``; ``names`` are ids as text."""
     texts, keys, large = [], [], []
-    for a, b in groups:
-        if len(a) == len(b) == 1:
-            texts.append(f"{a[0]}|{b[0]}")
-            keys.append(a[0] * width + b[0])
+    for g in range(first, last):
+        i, j, p, q = of_a[g], of_b[g], of_a[g + 1], of_b[g + 1]
+        if p - i == 1 == q - j:
+            x, y = left[i], right[j]
+            texts.append(names[x] + "|" + names[y])
+            keys.append(x * width + y)
             continue
-        texts.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
+        a, b = left[i:p], right[j:q]
+        texts.append(",".join([names[x] for x in a]) + "|" + ",".join([names[y] for y in b]))
         if len(a) * len(b) <= MANY:
             keys += [x * width + y for x in a for y in b]
         else:
@@ -141,29 +147,28 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteSide(a_path), PieceSide(b_path)
         self.of_a, self.of_b = side_table(self.a.tokens), side_table(self.b.tokens)
+        self.names = list(map(str, range(max(len(self.a.tokens), len(self.b.tokens)))))
         #: Windows by their id tuples: the ids of ``a``, then those of ``b`` with ``RIGHT`` added.
         self.known: dict[bytes, Window] = {}
 
-    def encoded(self, text: str | None) -> tuple[list[int], list[int]] | None:
+    def encoded(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides, or none if either does not spell the text with a space before it."""
         if not text:
             return None
         whole = b" " + text.encode()
-        sides = []
-        for side in (self.a, self.b):
-            ids = side.encode(text)
-            if b"".join(map(side.tokens.__getitem__, ids)) != whole:
-                return None
-            sides.append(ids)
-        return sides[0], sides[1]
-
-    def windows(self, left: list[int], right: list[int]) -> tuple[int, list[Window]]:
+        a, b = self.a.encode(text), self.b.encode(text)
+        # Bytes have a token each and are never changed, so on that side the length tells.
+        if self.of_a[0][a].sum() != len(whole) or b"".join(map(self.b.tokens.__getitem__, b.tolist())) != whole:
+            return None
+        return a, b
+
+    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[int, list[Window]]:
         """The number of groups, and the windows between anchors: shared ends that both sides follow by a token
         with a space in front."""
-        a, b = np.array(left, dtype=np.uint32), np.array(right, dtype=np.uint32)
-        _, at_a, at_b = np.intersect1d(
-            self.of_a[0][a].cumsum(), self.of_b[0][b].cumsum(), assume_unique=True, return_indices=True
-        )
+        ends_a, ends_b = self.of_a[0][a].cumsum(), self.of_b[0][b].cumsum()
+        at_a = np.searchsorted(ends_a, ends_b)
+        at_b = np.flatnonzero(ends_a[at_a] == ends_b)
+        at_a = at_a[at_b]
         # The last shared end is the end of the text; a window ends there whatever follows.
         marked = self.of_a[1][a[at_a[:-1] + 1]] & self.of_b[1][b[at_b[:-1] + 1]]
         cut = np.append(np.flatnonzero(marked), len(at_a) - 1) + 1
@@ -178,14 +183,11 @@ class Aligner:
         found = list(map(self.known.get, spelled))
         if None in found:
             of_a, of_b, groups = of_a.tolist(), of_b.tolist(), [0, *cut.tolist()]
+            left, right = a.tolist(), b.tolist()
             for k, window in enumerate(found):
                 if window is None:
                     window = found[k] = self.known.get(spelled[k]) or aligned_window(
-                        [
-                            (left[of_a[g] : of_a[g + 1]], right[of_b[g] : of_b[g + 1]])
-                            for g in range(groups[k], groups[k + 1])
-                        ],
-                        len(self.b.tokens),
+                        left, right, of_a, of_b, groups[k], groups[k + 1], self.names, len(self.b.tokens)
                     )
                     if len(spelled[k]) <= 4 * WINDOW:
                         self.known[spelled[k]] = window
@@ -240,6 +242,8 @@ def aligned(docs: DataFrame, key: str = "doc_id", a: str | None = None, b: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(*paths)
+        # Remembered windows are many objects without cycles, which searches for cycles would walk again and again.
+        gc.disable()
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
@@ -247,6 +251,7 @@ def aligned(docs: DataFrame, key: str = "doc_id", a: str | None = None, b: str |
                 columns = [pa.array(x, f.type) for x, f in zip(rows[:5], schema, strict=False)]
                 columns += [listed(rows[5]), listed(rows[6])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *schema.names])
+        gc.enable()
 
     counted = ", ".join(f"{c} long" for c in COUNTS)
     of_key = docs.schema[key].dataType.simpleString()

@@ -188,7 +188,7 @@ def test_windows_join_to_the_whole():
         for group in window.groups.split(";"):
             for side, ids in zip(sides, group.split("|"), strict=True):
                 side += map(int, ids.split(","))
-    assert sides == [a, b]
+    assert sides == [a.tolist(), b.tolist()]
 
 
 def test_alignment_edges(spark, docs):
