@@ -38,9 +38,9 @@ from kinfold.sources.worktable import discard
 
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
 PIECES = "piece_bpe_32k.model"
-#: Largest window, in tokens of both sides, and number of windows that a task remembers.
+#: Largest window, in tokens of both sides, and number of windows and groups that a task remembers.
 WINDOW = 64
-KNOWN_WINDOWS = 200_000
+KNOWN_WINDOWS = 400_000
 #: About how many id pairs with their counts are sent to the tasks at once.
 SLICE = 1_000_000
 #: Added to the ids of the right side in a window's key, which no id of the left side reaches.
@@ -94,18 +94,22 @@ def side_table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(t) for t in tokens]), np.array([t[:1] == b" " for t in tokens])
 
 
-class Window(NamedTuple):
-    """The alignment of a window: its groups as text, and the linked pairs.
+class Group(NamedTuple):
+    """Tokens of both sides between two shared ends: their ids as text, and the linked pairs.
 
-    ``keys`` has one 64-bit number a link; groups of more than ``MANY`` links are in ``large``, as distinct
+    ``keys`` has one 64-bit number a link; a group of more than ``MANY`` links has them in ``large``, as distinct
     pairs with multiplicities.
     """
 
-    groups: str
+    text: str
     keys: bytes
     large: list[Pairs]
 
 
+#: The alignment of a window: its groups in order.
+Window = list[Group]
+
+
 def merged(keys: np.ndarray, times: np.ndarray) -> Pairs:
     """Distinct keys with summed multiplicities."""
     distinct, at = np.unique(keys, return_inverse=True)
@@ -120,25 +124,21 @@ def linked(left: list[int], right: list[int], width: int) -> Pairs:
     return np.add.outer(a[0] * width, b[0]).ravel(), np.multiply.outer(a[1], b[1]).ravel()
 
 
-def aligned_window(
-    left: list[int], right: list[int], of_a: list[int], of_b: list[int], first: int, last: int, names: list[str], width: int
-) -> Window:
-    """The groups ``first .. last`` of a text, which begin at ``of_a`` and ``of_b``; ``names`` are ids as text."""
-    texts, keys, large = [], [], []
-    for g in range(first, last):
-        i, j, p, q = of_a[g], of_b[g], of_a[g + 1], of_b[g + 1]
-        if p - i == 1 == q - j:
-            x, y = left[i], right[j]
-            texts.append(names[x] + "|" + names[y])
-            keys.append(x * width + y)
-            continue
-        a, b = left[i:p], right[j:q]
-        texts.append(",".join([names[x] for x in a]) + "|" + ",".join([names[y] for y in b]))
-        if len(a) * len(b) <= MANY:
-            keys += [x * width + y for x in a for y in b]
-        else:
-            large.append(linked(a, b, width))
-    return Window(";".join(texts), struct.pack(f"{len(keys)}q", *keys), large)
+def aligned_group(left: list[int], right: list[int], width: int) -> Group:
+    text = ",".join(map(str, left)) + "|" + ",".join(map(str, right))
+    if len(left) * len(right) > MANY:
+        return Group(text, b"", [linked(left, right, width)])
+    keys = [x * width + y for x in left for y in right]
+    return Group(text, struct.pack(f"{len(keys)}q", *keys), [])
+
+
+def side_by_side(a: np.ndarray, b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray) -> list[bytes]:
+    """The id tuples of stretches of both sides: the ids of ``a``, then those of ``b`` with ``RIGHT`` added."""
+    ids = np.empty(len(a) + len(b), dtype=np.uint32)
+    ids[np.arange(len(a)) + np.repeat(from_b[:-1], np.diff(from_a))] = a
+    ids[np.arange(len(b)) + np.repeat(from_a[1:], np.diff(from_b))] = b + RIGHT
+    edges = (4 * (from_a + from_b)).tolist()
+    return list(map(ids.tobytes().__getitem__, map(slice, edges, edges[1:])))
 
 
 class Aligner:
@@ -147,9 +147,9 @@ class Aligner:
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteSide(a_path), PieceSide(b_path)
         self.of_a, self.of_b = side_table(self.a.tokens), side_table(self.b.tokens)
-        self.names = list(map(str, range(max(len(self.a.tokens), len(self.b.tokens)))))
-        #: Windows by their id tuples: the ids of ``a``, then those of ``b`` with ``RIGHT`` added.
+        #: Windows, and the groups that new windows are made of, by the id tuples of both sides.
         self.known: dict[bytes, Window] = {}
+        self.groups: dict[bytes, Group] = {}
 
     def encoded(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides, or none if either does not spell the text with a space before it."""
@@ -174,39 +174,45 @@ class Aligner:
         cut = np.append(np.flatnonzero(marked), len(at_a) - 1) + 1
         of_a, of_b = np.append(0, at_a + 1), np.append(0, at_b + 1)
         from_a, from_b = np.append(0, of_a[cut]), np.append(0, of_b[cut])
-        # One array with every window's ids side by side.
-        ids = np.empty(len(a) + len(b), dtype=np.uint32)
-        ids[np.arange(len(a)) + np.repeat(from_b[:-1], np.diff(from_a))] = a
-        ids[np.arange(len(b)) + np.repeat(from_a[1:], np.diff(from_b))] = b + RIGHT
-        edges = (4 * (from_a + from_b)).tolist()
-        spelled = list(map(ids.tobytes().__getitem__, map(slice, edges, edges[1:])))
+        spelled = side_by_side(a, b, from_a, from_b)
         found = list(map(self.known.get, spelled))
         if None in found:
-            of_a, of_b, groups = of_a.tolist(), of_b.tolist(), [0, *cut.tolist()]
-            left, right = a.tolist(), b.tolist()
+            groups, last = side_by_side(a, b, of_a, of_b), [0, *cut.tolist()]
+            parts = list(map(self.groups.get, groups))
+            if None in parts:
+                parts = [part or self.group(ids) for part, ids in zip(parts, groups, strict=True)]
             for k, window in enumerate(found):
                 if window is None:
-                    window = found[k] = self.known.get(spelled[k]) or aligned_window(
-                        left, right, of_a, of_b, groups[k], groups[k + 1], self.names, len(self.b.tokens)
-                    )
+                    found[k] = parts[last[k] : last[k + 1]]
                     if len(spelled[k]) <= 4 * WINDOW:
-                        self.known[spelled[k]] = window
-            if len(self.known) > KNOWN_WINDOWS:
+                        self.known[spelled[k]] = found[k]
+            if len(self.known) + len(self.groups) > KNOWN_WINDOWS:
                 self.known.clear()
+                self.groups.clear()
         return len(at_a), found
 
+    def group(self, ids: bytes) -> Group:
+        found = self.groups.get(ids)
+        if found is None:
+            both = np.frombuffer(ids, dtype=np.uint32)
+            left, right = both[both < RIGHT], both[both >= RIGHT] - RIGHT
+            found = aligned_group(left.tolist(), right.tolist(), len(self.b.tokens))
+            if len(ids) <= 4 * WINDOW:
+                self.groups[ids] = found
+        return found
+
     def document(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """Tokens a side, groups, links, the groups' digest, and distinct pairs with multiplicities."""
         sides = self.encoded(text)
         if sides is None:
             return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
         n_groups, windows = self.windows(*sides)
-        groups, keys, large = zip(*windows, strict=True)
-        keys, times = np.unique(np.frombuffer(b"".join(keys), dtype=np.int64), return_counts=True)
-        if any(large):
-            more = chain.from_iterable(large)
-            keys, times = merged(*(np.concatenate(x) for x in zip((keys, times), *more, strict=True)))
-        digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
+        groups = list(chain.from_iterable(windows))
+        flat = np.frombuffer(b"".join([g[1] for g in groups]), dtype=np.int64)
+        keys, times = np.unique(flat, return_counts=True)
+        if large := [pairs for g in groups if g[2] for pairs in g[2]]:
+            keys, times = merged(*(np.concatenate(x) for x in zip((keys, times), *large, strict=True)))
+        digest = hashlib.sha256(";".join([g[0] for g in groups]).encode()).hexdigest()
         return len(sides[0]), len(sides[1]), n_groups, int(times.sum()), digest, keys, times
 
 

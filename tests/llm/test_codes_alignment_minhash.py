@@ -185,8 +185,8 @@ def test_windows_join_to_the_whole():
     assert n_groups >= len(windows) > 50 and len(own.known) < 12
     sides = [[], []]
     for window in windows:
-        for group in window.groups.split(";"):
-            for side, ids in zip(sides, group.split("|"), strict=True):
+        for group in window:
+            for side, ids in zip(sides, group.text.split("|"), strict=True):
                 side += map(int, ids.split(","))
     assert sides == [a.tolist(), b.tolist()]
 
