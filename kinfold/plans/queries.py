@@ -44,6 +44,7 @@ D_LEVELS = sweep.threshold_list(0.6, 0.99, 30)
 V_LEVELS = sweep.threshold_list(0.36, 0.6, 30)
 D_FIELDS = [FieldSpec("source_description"), FieldSpec("document_number", STRING)]
 D_BLOCKS = [("source_description",)]
+D_DOCUMENT_BLOCKS = [("source_description", "document_number")]
 D_AVERAGE = 0.7
 D_PREDICATES = [
     Predicate(WHOLE, "source_description"),
@@ -621,7 +622,7 @@ def D_pair_scores(spark, folder):
     sample = linkage.training_sample(labels, linkage.sample_size(records.count()))
     training = materialize(linkage.pair_features(sample, records, D_FIELDS), "training")
     model = linkage.train_scorer(training, D_FIELDS)
-    candidates = linkage.candidate_pairs(records, min_cosine=D_CANDIDATES, blocks=D_BLOCKS)
+    candidates = linkage.candidate_pairs(records, D_DOCUMENT_BLOCKS, min_cosine=D_CANDIDATES)
     pairs = candidates.select("i", "j")
     return linkage.score_pairs(linkage.pair_features(pairs, records, D_FIELDS), model)
 
