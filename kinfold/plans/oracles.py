@@ -676,6 +676,39 @@ _EXAMPLES = "\nUNION ALL\n".join(
 )
 _PROMPT = "string_agg({line}, '{sep}' ORDER BY ordinal)"
 
+CONTENT = [
+    cte(
+        "before",
+        """SELECT DISTINCT text FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN text ELSE text || ' (draft)' END AS text
+  FROM documents) WHERE text IS NOT NULL""",
+    )
+]
+_KEY = "concat_ws('||', " + ", ".join(
+    rf"regexp_replace(coalesce({c}, ''), '^[\s\p{{Z}}\x{{85}}]+|[\s\p{{Z}}\x{{85}}]+$', '', 'g')"
+    for c in ("source_id", "source_description", "target_id", "document_number")
+) + ")"
+KEYED = [
+    *R,
+    *UNFILTERED,
+    cte("keyed", f"SELECT row_id, source_id, source_description, document_number, {_KEY} AS item_key FROM unfiltered"),
+    cte(
+        "key_pairs",
+        """SELECT DISTINCT is_match, least(a, b) AS k1, greatest(a, b) AS k2 FROM (
+  SELECT true AS is_match, first_value(item_key) OVER w AS a, item_key AS b, row_number() OVER w > 1 AS later
+  FROM keyed WHERE source_id IS NOT NULL WINDOW w AS (PARTITION BY source_id ORDER BY row_id)
+  UNION ALL
+  SELECT false, first_value(item_key) OVER w, item_key, first_value(source_id) OVER w <> source_id
+  FROM keyed WHERE document_number IS NOT NULL WINDOW w AS (PARTITION BY document_number ORDER BY row_id)
+) WHERE later""",
+    ),
+    cte("key_items", "SELECT k1 AS item_key FROM key_pairs UNION SELECT k2 FROM key_pairs"),
+    cte(
+        "key_clusters",
+        """SELECT item_key, max(cluster_id) AS cluster_id FROM (SELECT item_key, min(row_id) OVER
+  (PARTITION BY source_description) AS cluster_id FROM keyed WHERE source_description IS NOT NULL) GROUP BY item_key""",
+    ),
+]
+
 ORACLES: dict[str, str] = {
     "R_relationships": RELATIONSHIPS,
     "V_parse_vectors": """SELECT vec_id AS row_id, len(embedding) AS dimension,
@@ -717,6 +750,37 @@ WHERE document_number IN (SELECT document_number FROM comparison WHERE target_id
 FROM unfiltered""",
     ),
     "D_clean_text": f"SELECT doc_id AS row_id, {clean('text')} AS cleaned FROM documents",
+    "D_embed_changes": statement(
+        CONTENT,
+        """SELECT count(*) FILTER (o AND n) AS kept, count(*) FILTER (n AND NOT o) AS added,
+  count(*) FILTER (o AND NOT n) AS removed FROM (SELECT a.text IS NOT NULL AS o, b.text IS NOT NULL AS n
+    FROM before a FULL JOIN (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL) b ON a.text = b.text)""",
+    ),
+    "D_embed_content": statement(
+        CONTENT,
+        """SELECT doc_id AS row_id, sha256(text) AS text_digest, text IN (FROM before) AS reused,
+  CAST(64 AS INTEGER) AS embedding_dimension FROM documents WHERE text IS NOT NULL""",
+    ),
+    "E_key_pairs": statement(KEYED, "SELECT is_match, k1, k2 FROM key_pairs"),
+    "E_key_truth": statement(
+        KEYED,
+        """SELECT item_key, min(item_key) OVER (PARTITION BY s) AS cluster_id FROM
+  (SELECT item_key, min(coalesce(source_id, item_key)) AS s FROM keyed
+   WHERE item_key IN (SELECT k1 FROM key_pairs UNION SELECT k2 FROM key_pairs) GROUP BY item_key)""",
+    ),
+    "E_key_confusion": statement(
+        KEYED,
+        """SELECT count(*) FILTER (is_match AND p) AS true_positives, count(*) FILTER (NOT is_match AND p) AS false_positives,
+  count(*) FILTER (is_match AND NOT p) AS false_negatives, count(*) FILTER (NOT is_match AND NOT p) AS true_negatives
+FROM (SELECT is_match, k1 <> k2 AND coalesce(a.cluster_id = b.cluster_id, false) AS p FROM key_pairs
+  LEFT JOIN key_clusters a ON a.item_key = k1 LEFT JOIN key_clusters b ON b.item_key = k2)""",
+    ),
+    "E_key_overlap": statement(
+        KEYED,
+        """SELECT *, round(overlap_items * 100.0::DOUBLE / truth_items, 6) AS overlap_percent FROM (SELECT
+  (SELECT count(*) FROM key_items) AS truth_items, (SELECT count(*) FROM key_clusters) AS clustered_items,
+  (SELECT count(*) FROM key_items JOIN key_clusters USING (item_key)) AS overlap_items)""",
+    ),
     "E_composite_key": statement(
         R + UNFILTERED,
         "SELECT row_id, concat_ws('||', "
@@ -1027,3 +1091,7 @@ JOIN documents a ON a.doc_id = k1 JOIN documents b ON b.doc_id = k2""",
 FROM pairwise, metrics""",
     ),
 }
+
+ORACLES["R_resumed_answers"] = f"""SELECT group_id, part, length(prompt) || ' characters' AS reasoning,
+  CAST(CASE WHEN sha256(prompt)[1] IN ('0', '1', '2', '3', '4') THEN 2 ELSE 1 END AS BIGINT) AS tries, true AS complete
+FROM ({ORACLES["R_validation_prompts"]})"""

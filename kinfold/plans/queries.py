@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from kinfold.functions.text import clean_text, composite_key
 from kinfold.functions.vectors import cosine, parse_vector
 from kinfold.operators import (
     agglomerate,
+    answers,
+    content,
     dedup,
     dense,
     embed,
@@ -29,7 +32,7 @@ from kinfold.operators.predicates import FIRST_WORDS, MINHASH, PREFIX, RARE, WHO
 from kinfold.plans import link, resolve
 from kinfold.sources import testbed
 from kinfold.sources.files import json_columns
-from kinfold.sources.worktable import materialize
+from kinfold.sources.worktable import materialize, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -187,6 +190,39 @@ def D_embed_incremental(spark, folder):
     return merged.select("row_id", "embedding_provider", "embedding_dimension")
 
 
+def _content_store(spark, folder) -> tuple[DataFrame, DataFrame, embed.EmbeddingProvider]:
+    """Texts, and a store made when odd documents were drafts, so that their texts have changed since."""
+    rows = testbed.text_records(spark, folder).select(
+        "row_id", F.col("source_description").alias("text_to_compare")
+    )
+    draft = F.concat("text_to_compare", F.lit(" (draft)"))
+    before = rows.withColumn(
+        "text_to_compare", F.when(F.col("row_id") % 2 == 0, F.col("text_to_compare")).otherwise(draft)
+    )
+    provider = embed.HashedBigrams(64)
+    return rows, materialize(content.made(before, provider), "store"), provider
+
+
+@query
+def D_embed_changes(spark, folder):
+    return content.changes(*_content_store(spark, folder))
+
+
+@query
+def D_embed_content(spark, folder):
+    """Every row with the store's state before and after the merge."""
+    rows, store, provider = _content_store(spark, folder)
+    after = materialize(content.merged(rows, store, provider), "merged")
+    found = content.embedded(rows, after, provider)
+    known = store.select("text_digest", F.lit(True).alias("_known"))
+    return found.join(known, "text_digest", "left").select(
+        "row_id",
+        "text_digest",
+        F.col("_known").isNotNull().alias("reused"),
+        "embedding_dimension",
+    )
+
+
 # --- B filters and projections -------------------------------------------------------------------
 
 
@@ -414,6 +450,28 @@ def R_validation_prompts(spark, folder):
     return review.validation_prompts(resolve.members(_resolution(spark, folder)))
 
 
+@query
+def R_resumed_answers(spark, folder):
+    """Two runs of a reviewer that first fails for every prompt whose digest begins with 0 to 4."""
+    prompts = materialize(review.validation_prompts(resolve.members(_resolution(spark, folder))), "prompts")
+    store = f"{work_folder(spark)}/kinfold/answers-{uuid.uuid4().hex}"
+
+    def make_reviewer(steady: bool):
+        def judge(texts: list[str]) -> list[dict]:
+            import hashlib
+
+            if not steady and any(hashlib.sha256(t.encode()).hexdigest()[0] in "01234" for t in texts):
+                raise TimeoutError("no answer")
+            return [{"false_positives": [], "reasoning": f"{len(t)} characters"} for t in texts]
+
+        return judge
+
+    for steady in (False, True):
+        answers.ask(prompts, lambda steady=steady: make_reviewer(steady), store, "fixed")
+    found = answers.answered(prompts, store, "fixed", "false_positives array<int>, reasoning string")
+    return found.select("group_id", "part", "reasoning", "tries", "complete")
+
+
 @query
 def R_verdicts(spark, folder):
     run = _resolution(spark, folder)
@@ -819,3 +877,50 @@ def E_report(spark, folder):
         "accuracy",
         *evaluate.METRICS,
     )
+
+
+def _keyed(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Labelled pairs and clusters of relationships under composite keys.
+
+    A relationship is a match of the first one of its source and none of the first one of its document, if
+    that has another source. Clusters hold the relationships of a description.
+    """
+    parts = ["source_id", "source_description", "target_id", "document_number"]
+    key = composite_key([F.col(c) for c in parts])
+    rows = _unfiltered(spark, folder).select("row_id", *parts, key.alias("item_key"))
+    rows = materialize(rows, "keyed")
+
+    def with_first(by: str) -> DataFrame:
+        first = rows.groupBy(by).agg(F.min(F.struct("row_id", "source_id", "item_key")).alias("first"))
+        return rows.join(first, by).where(F.col("first.row_id") < F.col("row_id"))
+
+    pair = [F.col("first.item_key").alias("a"), F.col("item_key").alias("b")]
+    same = with_first("source_id").select(F.lit(True).alias("is_match"), *pair)
+    other = with_first("document_number").where(F.col("first.source_id") != F.col("source_id"))
+    pairs = same.unionByName(other.select(F.lit(False).alias("is_match"), *pair))
+    whole = rows.groupBy("source_description").agg(F.min("row_id").alias("cluster_id"))
+    found = evaluate.item_clusters(rows.join(whole, "source_description"))
+    return evaluate.canonical_pairs(pairs, "a", "b"), found
+
+
+@query
+def E_key_pairs(spark, folder):
+    return _keyed(spark, folder)[0]
+
+
+@query
+def E_key_truth(spark, folder):
+    pairs, _, names = evaluate.on_ids(_keyed(spark, folder)[0])
+    return evaluate.named_clusters(evaluate.truth_clusters(pairs), names)
+
+
+@query
+def E_key_confusion(spark, folder):
+    pairs, clusters, _ = evaluate.on_ids(*_keyed(spark, folder))
+    return evaluate.confusion(evaluate.judged_pairs(pairs, clusters))
+
+
+@query
+def E_key_overlap(spark, folder):
+    pairs, clusters, _ = evaluate.on_ids(*_keyed(spark, folder))
+    return rounded(evaluate.overlap(pairs, clusters), "overlap_percent")
