@@ -1095,3 +1095,5 @@ FROM pairwise, metrics""",
 ORACLES["R_resumed_answers"] = f"""SELECT group_id, part, length(prompt) || ' characters' AS reasoning,
   CAST(CASE WHEN sha256(prompt)[1] IN ('0', '1', '2', '3', '4') THEN 2 ELSE 1 END AS BIGINT) AS tries, true AS complete
 FROM ({ORACLES["R_validation_prompts"]})"""
+ORACLES["D_forest_levels"] = f"""SELECT threshold, CAST(round(mean_group_size * groups) - groups AS BIGINT) AS edges
+FROM ({ORACLES["D_sweep_groups"]})"""

@@ -19,6 +19,7 @@ from kinfold.operators import (
     embed,
     evaluate,
     extract,
+    forest,
     linkage,
     predicates,
     review,
@@ -393,9 +394,19 @@ def D_sweep_pairs(spark, folder):
 
 @query
 def D_sweep_groups(spark, folder):
-    pairs = materialize(_first_pairs(spark, folder, D_LEVELS[0]), "pairs")
-    counts = sweep.level_counts(pairs, D_LEVELS)
-    return rounded(sweep.sweep_groups(pairs, counts, D_LEVELS), "threshold", "mean_group_size")
+    links, counts = forest.condensed(_first_pairs(spark, folder, D_LEVELS[0]), D_LEVELS)
+    return rounded(
+        sweep.sweep_groups(forest.spanning(links), counts, D_LEVELS), "threshold", "mean_group_size"
+    )
+
+
+@query
+def D_forest_levels(spark, folder):
+    """Edges of the maximum spanning forest above each threshold: rows less groups."""
+    links, _ = forest.condensed(_first_pairs(spark, folder, D_LEVELS[0]))
+    edges = sweep.level_counts(forest.spanning(links), D_LEVELS)
+    levels = sweep.sweep_pairs(edges, D_LEVELS).select("threshold", F.col("pairs").alias("edges"))
+    return rounded(levels, "threshold")
 
 
 @query
