@@ -23,6 +23,7 @@ from kinfold.llm import (
     vector_codes,
 )
 from kinfold.llm.common import table
+from kinfold.llm.oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,5 +122,3 @@ QUERIES: dict[str, Query] = {
     "op12_token_alignment": op12_token_alignment,
     "op13_minhash_dedup": op13_minhash_dedup,
 }
-
-ORACLES: dict[str, str] = {}
