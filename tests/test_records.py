@@ -221,6 +221,16 @@ def test_unified_records_are_whole_in_parts(rows):
         assert (len(parts) == 1) == (size == 1000)
 
 
+def test_unified_records_take_a_models_titles(rows):
+    relationships = rows([rel(1), rel(2)], REL).withColumn("domain_order", F.lit(0))
+    m = members(rows, [1, 2])
+    documents = unify.group_documents(m, relationships)
+    group = m.first()["group_id"]
+    titles = rows([(group, "A model's title", "said in full")], "group_id long, title string, description string")
+    got = unify.unified_records(m, review.rule_summaries(m), documents, relationships, "S1", titles=titles)
+    assert {r.canonical_name for r in got.collect()} == {"A model's title"}
+
+
 def test_network_filters(rows):
     df = rows([rel(1), rel(2, "2", source_id="P1"), rel(3, kind="USES", source_id=None)], REL)
     assert as_set(unify.network_edges(df)) == {("P1", "S1", "DEVELOPED_BY", 2, 2)}
