@@ -793,6 +793,8 @@ FROM (SELECT is_match, k1 <> k2 AND coalesce(a.cluster_id = b.cluster_id, false)
     "V_embedding_metadata": """SELECT vec_id AS row_id, 'table' AS embedding_provider,
   CAST(len(embedding) AS INTEGER) AS embedding_dimension FROM embeddings""",
     "V_similar_pairs": statement(V, "SELECT i, j, round(score, 6) AS score FROM v_pairs WHERE score > 0.4"),
+    "V_similar_pairs_pruned": statement(V, "SELECT i, j, round(score, 6) AS score FROM v_pairs WHERE score > 0.4"),
+    "V_groups_pruned": statement(V_GROUPS, "SELECT component AS group_id, node AS member_id FROM groups"),
     "D_similar_pairs": statement(D_FIRST_PAIRS, "SELECT i, j, round(score, 6) AS score FROM t_pairs"),
     "R_similar_pairs": statement(R_PAIRS, "SELECT i, j, round(score, 6) AS score FROM t_pairs"),
     "R_dedup_first": statement(R_FIRST, "SELECT row_id, document_number, source_description FROM firsts"),

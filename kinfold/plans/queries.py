@@ -12,6 +12,7 @@ from kinfold.functions.text import clean_text, composite_key
 from kinfold.functions.vectors import cosine, parse_vector
 from kinfold.operators import (
     agglomerate,
+    anchors,
     answers,
     content,
     dedup,
@@ -305,6 +306,18 @@ def V_similar_pairs(spark, folder):
     return rounded(dense.similar_pairs(testbed.vectors(spark, folder), V_THRESHOLD), "score")
 
 
+@query
+def V_similar_pairs_pruned(spark, folder):
+    plan = anchors.planned(testbed.vectors(spark, folder), V_THRESHOLD)
+    return rounded(anchors.similar_pairs(plan, V_THRESHOLD), "score")
+
+
+@query
+def V_groups_pruned(spark, folder):
+    plan = anchors.planned(testbed.vectors(spark, folder), V_THRESHOLD)
+    return anchors.similar_groups(plan, V_THRESHOLD)
+
+
 @query
 def D_similar_pairs(spark, folder):
     return rounded(_first_pairs(spark, folder, 0.6), "score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import dedup, embed, extract, linkage, review, sparse, unify
 from kinfold.operators.linkage import STRING, FieldSpec
-from kinfold.operators.ordinals import with_ordinal, with_part
+from kinfold.operators.ordinals import sliced, with_ordinal, with_part
 from kinfold.plans import link
 from kinfold.plans.queries import QUERIES
 from kinfold.sources import files
@@ -67,6 +67,22 @@ def test_ordinals_do_not_depend_on_slices(rows, slice_rows):
         assert found == {v: n for n, v in enumerate(values, 1)}
 
 
+def test_slices_follow_the_rows_and_not_the_values(rows):
+    data = [(1, (p << 33) + k) for p in (0, 1, 700, 701, 1 << 20) for k in range(400)] + [(g, g) for g in range(2, 200)]
+    df = rows(data, "group_id long, row_id long").repartition(4, "row_id")
+    found, slices = sliced(df, "group_id", "row_id", 100)
+    sizes = [r["count"] for r in found.groupBy("_slice").count().collect()]
+    assert slices == 22 and len(sizes) >= 18 and max(sizes) <= 200 and sum(sizes) == len(data)
+    got = with_ordinal(df, slice_rows=100).where("group_id = 1").collect()
+    assert {r.row_id: r.ordinal for r in got} == {v: n for n, (g, v) in enumerate(sorted(data)[:2000], 1)}
+
+
+def test_rows_without_a_group_have_no_ordinal(rows):
+    df = rows([(1, 1), (None, 2), (1, 3), (None, 4)], "group_id long, row_id long")
+    for slice_rows in (1, 100):
+        assert as_set(with_ordinal(df, slice_rows=slice_rows)) == {(1, 1, 1), (1, 3, 2)}
+
+
 def test_parts_hold_every_row(rows):
     df = rows([(1, n) for n in range(100)] + [(2, 1)], "group_id long, row_id long")
     got = with_part(df, "group_id", "row_id", 10).collect()
