@@ -12,10 +12,13 @@ Each round is two joins on documents and hubs with map-side sums between; a hub
 by shard, and its members meet it through a join that adaptive execution splits when it is skewed. Only
 tables of shards by shards reach the driver.
 
-Nulls and edges: null texts are not linked to each other and have one byte of size; a hub above a
-shard's quota is spread over as few shards as admit it; repeated ids with equal texts are separate rows that
-are linked; extra columns are ignored; fewer rows than shards leave shards empty; an empty table gives
-an empty result.
+A hub above a quota cannot have one shard: its members are dealt by a hash over the shards that hold most of it, as many as its
+rows need at ``FILL`` of a quota each. Rows are numbered in slices of hubs, and a hub of more than ``SLICE`` rows has slices of its own, so a group is cut
+only where a shard ends, at every size of the table.
+
+Nulls and edges: null texts are not linked to each other and have one byte of size; repeated ids with equal texts are separate
+rows that are linked, told apart by a number; texts of any length count by their digest; extra columns are ignored; fewer rows
+than shards leave shards empty; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import materialize, placed
+from kinfold.llm.common import materialize, placed, with_copies
 
 SHARDS = 16
 ROUNDS = 6
 SEED = 3
+#: Share of a quota that a hub above it plans with, so that small hubs keep room in its shards.
+FILL = 0.6
 #: Rows that are numbered by one task.
 SLICE = 100_000
 
@@ -43,11 +48,18 @@ def linked_hubs(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("_hub").isNotNull()).groupBy("_hub").agg(F.count("*").alias("_n")).where("_n > 1")
 
 
-def wishes(state: DataFrame) -> DataFrame:
-    """Add ``_wish``, the shard where most of the row's hub is, the smaller one of equals."""
-    counts = state.groupBy("_hub", "shard").agg(F.count("*").alias("_n"))
-    best = counts.groupBy("_hub").agg(F.max(F.struct("_n", (-F.col("shard")).alias("_minus"))).alias("_best"))
-    return state.join(best, "_hub").select(*state.columns, (-F.col("_best._minus")).cast("int").alias("_wish"))
+def wishes(state: DataFrame, quota: int) -> DataFrame:
+    """Add ``_wish``: the shard where most of the row's hub is, the smaller one of equals.
+
+    The ``_n`` rows of a hub above ``quota`` are dealt over as many of its first shards as they need to fill each to ``FILL``.
+    """
+    counts = state.groupBy("_hub", "shard").agg(F.count("*").alias("_held"))
+    ranked = F.sort_array(F.collect_list(F.struct("_held", (-F.col("shard")).alias("_minus"))), asc=False)
+    best = counts.groupBy("_hub").agg(ranked.alias("_best"))  # at most one entry a shard
+    needed = F.when(F.col("_n") > quota, F.ceil(F.col("_n") / F.lit(max(1.0, FILL * quota)))).otherwise(F.lit(1))
+    turn = F.pmod(F.xxhash64("_row", F.lit(SEED - 1)), F.least(needed, F.size("_best")).cast("long"))
+    wish = -F.element_at("_best", (turn + 1).cast("int"))["_minus"]
+    return state.join(best, "_hub").select(*state.columns, wish.cast("int").alias("_wish"))
 
 
 def admitted(wished: DataFrame, quota: list[int], round_: int) -> DataFrame:
@@ -59,15 +71,13 @@ def admitted(wished: DataFrame, quota: list[int], round_: int) -> DataFrame:
         if flow["shard"] != flow["_wish"]:
             wanted[flow["_wish"]] += flow["_n"]
     room = [max(0, q - h) for q, h in zip(quota, held, strict=True)]
-    # Leaving rows make room too: as many as want out of a full shard to others may be replaced.
-    leaving = [sum(f["_n"] for f in flows if f["shard"] == s and f["_wish"] != s) for s in range(len(quota))]
+    moving = [f for f in flows if f["shard"] != f["_wish"]]
     rates = [min(1.0, r / w) if w else 0.0 for r, w in zip(room, wanted, strict=True)]
-    for s, w in enumerate(wanted):
-        out = sum(
-            f["_n"] * rates[f["_wish"]] for f in flows if f["shard"] == s and f["_wish"] != s
-        )
-        if w:
-            rates[s] = max(rates[s], min(1.0, (room[s] + min(out, leaving[s])) / w))
+    for _ in quota:  # rows that leave make room too, and what they make lets others leave
+        out = [0.0] * len(quota)
+        for flow in moving:
+            out[flow["shard"]] += flow["_n"] * rates[flow["_wish"]]
+        rates = [min(1.0, (r + o) / w) if w else 0.0 for r, o, w in zip(room, out, wanted, strict=True)]
     rate = F.element_at(F.array(*(F.lit(float(r)) for r in rates)), F.col("_wish") + 1)
     moves = (F.col("_wish") != F.col("shard")) & (chance(round_) < rate)
     return wished.withColumn("shard", F.when(moves, F.col("_wish")).otherwise(F.col("shard"))).drop("_wish")
@@ -78,16 +88,20 @@ def propagated(linked: DataFrame, shards: int, quota: list[int], rounds: int = R
     start = F.pmod(F.xxhash64("_row", F.lit(SEED)), F.lit(shards)).cast("int")
     state = materialize(linked.withColumn("shard", start), "labels")
     for round_ in range(1, rounds + 1):
-        wished = materialize(wishes(state), "wishes")
+        wished = materialize(wishes(state, max(quota)), "wishes")
         if wished.where(F.col("_wish") != F.col("shard")).isEmpty():
             break
         state = materialize(admitted(wished, quota, round_), "labels")
     return state
 
 
-def _sliced(df: DataFrame, n: int) -> tuple[DataFrame, int]:
-    slices = max(1, -(-n // SLICE))
-    return df.withColumn("_slice", F.pmod(F.xxhash64("_row", F.lit(SEED)), F.lit(slices))), slices
+def _sliced(df: DataFrame, n: int) -> DataFrame:
+    """Add ``_slice``: a hash of the hub, then for hubs above ``SLICE`` rows one of the row."""
+    own = F.when(F.col("_hub").isNull(), F.xxhash64("_row")).otherwise(F.xxhash64("_hub"))
+    parts = F.greatest(F.ceil(F.col("_n") / SLICE), F.lit(1)).cast("long")
+    part = F.pmod(F.xxhash64("_row", F.lit(SEED)), parts)
+    of_hub = F.pmod(own, F.lit(max(1, -(-n // SLICE))).cast("long"))
+    return df.withColumn("_slice", F.shiftleft(of_hub, 32) + part)
 
 
 def sharded(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -98,25 +112,28 @@ def sharded(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, rounds:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("_hub"),
-        F.xxhash64(key, "text").alias("_row"),
+        F.xxhash64(key, "text").alias("_same"),
+        F.spark_partition_id().alias("_slice"),
     )
-    rows = materialize(rows, "rows")
+    rows = with_copies(materialize(rows, "rows"), "_same")
+    rows = rows.withColumn("_row", F.xxhash64("_same", "_copy")).drop("_same", "_copy")
+    rows = materialize(rows, "numbered")
     n = rows.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    hubs = materialize(linked_hubs(rows).select("_hub"), "hubs")
-    linked = rows.join(hubs, "_hub", "left_semi")
-    single = rows.join(hubs, "_hub", "left_anti")
+    hubs = materialize(linked_hubs(rows), "hubs")
+    linked = rows.join(hubs, "_hub")
+    single = rows.join(hubs, "_hub", "left_anti").withColumn("_n", F.lit(1).cast("long"))
     state = propagated(linked, shards, quota, rounds)
 
     # Rows of a shard beyond its quota fill up others, like the rows without links.
     order = [F.col("_hub"), F.col("_row"), F.col(key), F.col("text_crc32")]
-    held = materialize(placed(*_with_order(state, ["shard"], order, n)), "held")
+    held = materialize(placed(_sliced(state, n), ["shard"], order), "held")
     limits = F.element_at(F.array(*(F.lit(q) for q in quota)), F.col("shard") + 1)
     kept = held.where(F.col("place") < limits)
     over = held.where(F.col("place") >= limits).drop("shard", "place")
     counts = {r["shard"]: r["n"] for r in kept.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    sliced, slices = _sliced(over.unionByName(single.select(over.columns)).withColumn("_all", F.lit(0)), n)
-    filler = placed(sliced, ["_all"], order, slices)
+    rest = over.unionByName(single.select(over.columns)).withColumn("_all", F.lit(0))
+    filler = placed(_sliced(rest, n), ["_all"], order)
     begin, at = [], 0
     for s in range(shards):
         begin.append(at)
@@ -129,8 +146,3 @@ def sharded(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, rounds:
     return kept.select(*columns, F.col("place").alias("slot")).unionByName(
         filled.select(*columns, slot.cast("long").alias("slot"))
     )
-
-
-def _with_order(state: DataFrame, group: list[str], order: list[Column], n: int):
-    sliced, slices = _sliced(state, n)
-    return sliced, group, order, slices
