@@ -32,7 +32,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import fold
@@ -42,6 +43,8 @@ HELD = 2
 UNKNOWN = "und"
 #: Bound on the labelled documents of each language that are sampled, and on the words used of all.
 TRAINING_DOCS = 300
+#: Characters of a sampled document that training reads; predictions read whole texts.
+TRAINING_CHARS = 20_000
 TRAINING_WORDS = 200_000
 HASHES = 1 << 16
 AFFIX = 3
@@ -55,6 +58,8 @@ BATCH = 256
 RATE = 0.05
 L2 = 1e-5
 SEED = 13
+#: Characters of texts that a task labels at once; their words times the languages are its arrays.
+PORTION = 500_000
 #: Distinct words that a task remembers the emissions of.
 KNOWN_WORDS = 400_000
 
@@ -264,26 +269,31 @@ def fitted(texts: list[tuple[str, str]], languages: list[str]) -> Crf:
     return Crf(languages, lexicon, theta[:size].astype(np.float32), theta[size:])
 
 
-def trained(docs: DataFrame, key: str = "doc_id") -> Crf | None:
-    """A field from labelled rows outside the held-out fold; None without any.
+def training_rows(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, list[str]]:
+    """``(text, lang)`` to learn from, out of labelled rows outside the held-out fold, and the languages there are.
 
-    Each language gives about ``TRAINING_DOCS`` documents, drawn by a hash of the text.
+    Each language gives at most ``TRAINING_DOCS`` documents of ``TRAINING_CHARS`` characters, drawn by a hash of id and
+    text, so that copies of a text weigh as they occur and a frequent language takes nothing from a rare one.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(key, FOLDS) != HELD))
+    rows = rows.select("lang", "text", F.xxhash64(key, "text", F.lit(SEED)).alias("_draw"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
     million = 1_000_000
-    shares = F.create_map(
-        *(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, TRAINING_DOCS / n) * million) + 1)))
-    )
-    draw = F.xxhash64("text", F.lit(SEED))
-    chosen = rows.where(F.pmod(draw, F.lit(million)) < shares[F.col("lang")])
-    sample = chosen.select("text", "lang", draw.alias("_draw")).orderBy("_draw", "lang").limit(
-        2 * TRAINING_DOCS * len(sizes)
-    )
-    texts = [(r["text"], r["lang"]) for r in sample.collect()]
-    return fitted(texts, sorted(sizes)) if texts else None
+    # Twice as many as are wanted come past this hash; the rest need no sorting.
+    share = lambda n: int(min(1.0, 2 * TRAINING_DOCS / n) * million) + 1
+    shares = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(share(n)))))
+    likely = rows.where(F.pmod(F.col("_draw"), F.lit(million)) < shares[F.col("lang")]) if sizes else rows
+    texts = likely.select("lang", F.substring("text", 1, TRAINING_CHARS).alias("text"), F.xxhash64("_draw").alias("_draw"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "text"))
+    sample = texts.withColumn("_at", first).where(F.col("_at") <= TRAINING_DOCS)
+    return sample.orderBy("_draw", "lang", "text").select("text", "lang"), sorted(sizes)
+
+
+def trained(docs: DataFrame, key: str = "doc_id") -> Crf | None:
+    """A field from ``training_rows``; None without any."""
+    rows, languages = training_rows(docs, key)
+    texts = [(r["text"], r["lang"]) for r in rows.collect()] if languages else []
+    return fitted(texts, languages) if texts else None
 
 
 def document_languages(
@@ -292,7 +302,7 @@ def document_languages(
     """Language and score of each text; ``known`` remembers words between calls."""
     words, starts, owners, out = [], [], [], [(UNKNOWN, 0.0)] * len(texts)
     for number, text in enumerate(texts):
-        if text and LETTERS.search(text):
+        if text and any(map(str.isalpha, text)):
             starts.append(len(words))
             owners.append(number)
             words += text.split()
@@ -306,14 +316,26 @@ def document_languages(
     return out
 
 
+def portions(lengths: list[int | None], most: int = PORTION) -> Iterator[tuple[int, int]]:
+    """``(start, rows)`` of consecutive rows with at most ``most`` characters together, or one longer row."""
+    start, held = 0, 0
+    for at, length in enumerate(lengths):
+        if at > start and held + (length or 0) > most:
+            yield start, at - start
+            start, held = at, 0
+        held += length or 0
+    if len(lengths) > start:
+        yield start, len(lengths) - start
+
+
 def predicted(docs: DataFrame, crf: Crf | None, key: str = "doc_id") -> DataFrame:
     """``(key, lang_pred, score)`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(crf) if crf else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at, rows in portions(pc.utf8_length(batch.column(1)).to_pylist()):
+                piece = batch.slice(at, rows)
                 texts = piece.column(1).to_pylist()
                 found = document_languages(texts, crf, known) if crf else [(UNKNOWN, 0.0)] * len(texts)
                 columns = [piece.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
