@@ -14,12 +14,13 @@ documents with map-side sums; only its ``DICTIONARY_NAMES`` most frequent names
 
 Nulls and edges: a null text is an empty one and has no spans (redaction leaves it null); a base span
 stays whatever the method says; what a base span covers is not reported twice, the rest of its run is
-scored; the name of a base assignment is no candidate; repeated rows are scanned alike; other columns are untouched. An empty table gives an empty result.
+scored; the name of a base assignment is no candidate; a text of any length takes time in proportion to it; repeated rows are scanned alike; other columns are untouched. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -38,9 +39,13 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a longest run of hex digits, of 32 or more
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ["assign", "access", "hex", "novel"]
 
-#: Words that make the 64 characters on either side of them a sensitive context.
+#: Words that make the 64 characters on either side of them a sensitive context. They stand alone or in one another's
+#: company, as words or parts of identifiers (``api_key``, ``apiKey``, ``AUTHTOKEN``), and not inside others (``author``, ``monkey``).
 SENSITIVE = re.compile(
-    r"(?ai:secret|token|passw|pwd|api|key|auth|cred|bearer|private|access|signature|cookie|session)"
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))"
+    r"(?ai:(?:secret|token|passw(?:or)?d|passphrase|pwd|api|key|auth|authorization|authentication|cred|credential|bearer"
+    r"|private|access|signature|cookie|session)+s?)"
+    r"(?![a-z])(?!(?<=[A-Z])[A-Z])"
 )
 CONTEXT = 64
 #: Candidates: runs of this length or more, and what assigns a value inside one (``=`` at its end pads it).
@@ -85,9 +90,19 @@ def novelty(compressor: zstandard.ZstdCompressor, text: str, start: int, end: in
     return (size(before + text[start:end] + after) - size(before + after)) / (end - start)
 
 
-def pieces(text: str, start: int, end: int, known: list[Span]) -> Iterator[tuple[int, int]]:
-    """The parts of a run that may be secrets: outside base spans and assignment signs."""
-    inside = [k for k in known if k[1] < end and start < k[2]]
+def overlaps(known: list[Span]) -> Callable[[int, int], list[Span]]:
+    """A function that lists the spans of ``known`` that meet a range; spans of one kind do not overlap."""
+    kinds = [sorted(k for k in known if k[0] == kind) for kind in KINDS]
+    edges = [([s for _, s, _ in spans], [e for _, _, e in spans], spans) for spans in kinds]
+
+    def meeting(start: int, end: int) -> list[Span]:
+        return [k for starts, ends, spans in edges for k in spans[bisect_right(ends, start) : bisect_left(starts, end)]]
+
+    return meeting
+
+
+def pieces(text: str, start: int, end: int, inside: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of a run that may be secrets: outside the base spans that meet it and assignment signs."""
     signs = [(start + m.start(), start + m.end()) for m in SIGN.finditer(text[start:end])]
     cuts = sorted([*signs, *((s, e) for _, s, e in inside), (end, end)])
     of_name = {s for s, _ in signs} | {s for kind, s, _ in inside if kind == "assign"}
@@ -103,9 +118,9 @@ def pieces(text: str, start: int, end: int, known: list[Span]) -> Iterator[tuple
 
 
 def novel_spans(compressor: zstandard.ZstdCompressor, text: str, known: list[Span]) -> list[Span]:
-    found = []
+    found, meeting = [], overlaps(known)
     for m in CANDIDATE.finditer(text):
-        for start, end in pieces(text, *m.span(), known):
+        for start, end in pieces(text, *m.span(), meeting(*m.span())):
             before = SENSITIVE.search(text, max(0, start - CONTEXT), start)
             if not before and not SENSITIVE.search(text, end, end + CONTEXT):
                 continue

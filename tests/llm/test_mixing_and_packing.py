@@ -234,3 +234,26 @@ def test_no_part_of_a_secret_stays(docs):
     free = ["the flower Zk39vQ7LpW2xTn8RbY5mHcD4 grows", "my_own_long_token=abcdefgh12"]
     kinds = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan(docs(free)).collect()}
     assert kinds == {0: [], 1: ["assign"]}
+
+
+def test_sensitive_words_stand_alone():
+    words = ["api_key x", "apiKey", "the AUTHTOKEN", "privateKey", "my-secret", "userPassword:", "credentials", "x_session_id"]
+    others = ["the author", "a monkey", "keyboard", "incredible", "accessible", "rapidly", "SECRETARY", "sessional", "tokenizer"]
+    assert [w for w in words if not secret_scan.SENSITIVE.search(w)] == []
+    assert [w for w in others if secret_scan.SENSITIVE.search(w)] == []
+
+
+def test_readable_runs_near_other_words_are_left_alone(docs):
+    texts = [
+        f"{word} {k} wrote of counter-revolutionary-manifesto and /docs/reference/getting-started/installation"
+        for k, word in enumerate(["the author", "a monkey", "this keyboard", "an incredible", "the secretary"] * 40)
+    ]
+    assert all(not r["spans"] for r in secret_scan.scan(docs(texts)).collect())
+
+
+def test_one_text_of_many_secrets_takes_time_in_proportion():
+    scan = secret_scan.scanner(b"names")
+    part = "password = hunter2hunter2 " + "0123456789abcdef" * 2 + " header/of/the/long/path "
+    spans = scan(part * 20_000)
+    assert sum(k == "assign" for k, _, _ in spans) == sum(k == "hex" for k, _, _ in spans) == 20_000
+    assert spans == sorted(spans, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))

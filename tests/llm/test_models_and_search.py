@@ -226,6 +226,46 @@ def test_sharding_edges(docs):
     assert Counter(Counter(r["shard"] for r in shards_of(same)).values()) == {1: 12, 2: 4}
 
 
+def test_a_hot_group_takes_the_shards_it_needs_at_every_slice(docs, monkeypatch):
+    """A third of the rows is one text, under ids of its own or in one repeated row: quota 60, so it plans with nine shards."""
+    for slice_rows, ids in ((100_000, range(10_000, 10_320)), (40, [7_777] * 320)):
+        monkeypatch.setattr(sharding, "SLICE", slice_rows)
+        texts = [f"text {k}" for k in range(400)] + [f"pair {k // 2}" for k in range(240)]
+        got = shards_of(docs([*texts, *((i, "hot", "en", "a") for i in ids)]))
+        assert Counter(Counter(r["shard"] for r in got).values()) == {60: 16}
+        for s in range(16):
+            assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(60))
+        crc = zlib.crc32(b"hot")
+        held = sorted((n for n in Counter(r["shard"] for r in got if r["text_crc32"] == crc).values()), reverse=True)
+        assert sum(held) == 320 and sum(held[:9]) >= 300, held
+
+
+def test_language_sample_keeps_rare_languages_and_bounds_texts(spark):
+    rows = [(k, "the hot text", "en") for k in range(4_500)] + [(10_000 + k, f"le mot {k}", "fr") for k in range(900)]
+    rows += [(20_000, "mot " * 50_000, "de")] + [(20_001, "x", "de")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, languages = langid.training_rows(docs)
+    counts = Counter(r["lang"] for r in sample.collect())
+    assert languages == ["de", "en", "fr"] and counts["en"] == counts["fr"] == langid.TRAINING_DOCS
+    assert 1 <= counts["de"] <= langid.TRAINING_DOCS
+    assert max(len(r["text"]) for r in sample.collect()) <= langid.TRAINING_CHARS
+
+
+def test_texts_are_labelled_in_portions_of_bounded_length():
+    lengths = [None, 0, 30, 80, 500, 1, 99, 100, 101]
+    got = list(langid.portions(lengths, 100))
+    assert [k for start, n in got for k in range(start, start + n)] == list(range(len(lengths)))
+    assert all(n == 1 or sum(x or 0 for x in lengths[start : start + n]) <= 100 for start, n in got)
+    assert list(langid.portions([], 100)) == []
+
+
+def test_a_text_of_number_signs_has_no_language(spark):
+    crf = langid.fitted([("ka lo mi", "xx"), ("ter bein", "yy")], ["xx", "yy"])
+    docs = spark.createDataFrame([(1, "½ ² 12"), (2, "ka ½")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predicted(docs, crf).collect()}
+    assert got[1] == "und" and got[2] in ("xx", "yy")
+
+
 @pytest.mark.parametrize("alike", ["texts", "rows"])
 def test_toxicity_sample_is_bounded_and_weighs_a_hot_text(spark, alike):
     """A third of all rows is one text, under ids of its own or in equal rows: it has a third of the sample."""
