@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinfold.functions.text import word_bigrams, words
-from kinfold.sources.worktable import spread
+from kinfold.functions.vectors import runs
+from kinfold.sources.worktable import materialize, spread
 
 BATCH = 100
 
@@ -136,13 +137,25 @@ def points_by_group(points: DataFrame, groups: DataFrame, id_col: str = "row_id"
 
 
 def text_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(row_id, term, k)``: word bigrams of each text and how often they occur."""
-    rows = spread(df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("_text")), "row_id")
-    return (
-        rows.select("row_id", F.explode(word_bigrams(words(F.col("_text")))).alias("term"))
-        .groupBy("row_id", "term")
-        .agg(F.count("*").alias("k"))
-    )
+    """``(row_id, term, k)``: word bigrams of each id's text and how often they occur.
+
+    A text's terms are counted where the text stands. Only those of an id that stands on several rows, or of none, are summed
+    over rows.
+    """
+    named = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("_text"))
+    ids = named.groupBy("row_id").agg(F.count("*").alias("_n")).where(F.col("row_id").isNull() | (F.col("_n") > 1))
+    shared = materialize(ids.select("row_id"), "shared_ids")
+    alone = named.where(F.col("row_id").isNotNull())
+    some = not shared.isEmpty()
+    if some:
+        alone = alone.join(shared, "row_id", "left_anti")
+    terms = F.sort_array(word_bigrams(words(F.col("_text"))))
+    counted = spread(alone, "row_id").select("row_id", F.inline(runs(terms)))
+    if not some:
+        return counted
+    rest = named.join(shared.withColumnRenamed("row_id", "_id"), F.col("row_id").eqNullSafe(F.col("_id")), "left_semi")
+    exploded = rest.select("row_id", F.explode(word_bigrams(words(F.col("_text")))).alias("term"))
+    return counted.unionByName(exploded.groupBy("row_id", "term").agg(F.count("*").alias("k")))
 
 
 def group_sample(groups: DataFrame, k: int, seed: Sequence[int] | int = 42) -> DataFrame:
