@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.dense import BLOCK_ROWS, _linked, _pair_table, _scores
+from kinfold.operators.dense import SENT_ROWS, _links, _passing
 from kinfold.operators.components import connected_components
 from kinfold.sources.worktable import materialize
 
@@ -201,29 +201,26 @@ def _met_blocks(plan: Plan, block_rows: int):
     )
 
 
-def similar_pairs(plan: Plan, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs(plan: Plan, threshold: float, block_rows: int = SENT_ROWS) -> DataFrame:
     """All pairs ``(i, j, score)`` with ``i < j`` and a cosine strictly above ``threshold``.
 
     ``plan`` must be made for this threshold or a lower one.
     """
 
     def block(table: pa.Table) -> pa.Table:
-        scores, rows, columns = _scores(table)
-        return _pair_table(scores, rows, columns, *np.nonzero(scores > threshold))
+        return _passing(table, threshold)
 
     return _met_blocks(plan, block_rows).applyInArrow(block, "i long, j long, score double")
 
 
-def similar_groups(plan: Plan, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_groups(plan: Plan, threshold: float, block_rows: int = SENT_ROWS) -> DataFrame:
     """``(group_id, member_id)``: components of the pairs above ``threshold``.
 
     A pair of blocks gives the links of a forest and not its pairs, so a large set of copies is about one link a row and pair of blocks.
     """
 
     def block(table: pa.Table) -> pa.Table:
-        scores, rows, columns = _scores(table)
-        same = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
-        return _pair_table(scores, rows, columns, *_linked(scores, same, threshold)).select(["i", "j"])
+        return _links(table, threshold).select(["i", "j"])
 
     links = materialize(_met_blocks(plan, block_rows).applyInArrow(block, "i long, j long"), "links")
     return connected_components(links).select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +13,22 @@ from pyspark.sql import functions as F
 from kinfold.functions.vectors import cosine
 from kinfold.operators.buckets import CHUNK, bucket_pairs, with_bucket_size
 from kinfold.operators.components import connected_components, smallest_reachable
+from kinfold.operators.forest import local_forest
 from kinfold.sources.worktable import materialize
 
+#: Rows of a matrix product, and rows of a block; a row is sent once for each block.
 BLOCK_ROWS = 2_000
+SENT_ROWS = 16_000
 MIN_BLOCK_ROWS = 250
+PAIRS_A_CORE = 4
+#: Pairs a row that are linked as a list.
+FEW_PAIRS = 8
 
 
-def block_count(rows: int, cores: int, block_rows: int = BLOCK_ROWS) -> int:
+def block_count(rows: int, cores: int, block_rows: int = SENT_ROWS) -> int:
     """Blocks small enough for one task's memory, and enough block pairs to use the cores."""
     by_memory = math.ceil(rows / block_rows)
-    by_cores = math.ceil(math.sqrt(2 * cores))
+    by_cores = math.ceil(math.sqrt(2 * PAIRS_A_CORE * cores))
     return max(1, by_memory, min(by_cores, math.ceil(rows / MIN_BLOCK_ROWS)))
 
 
@@ -44,6 +50,9 @@ def _block_pairs(vectors: DataFrame, id_col: str, vector_col: str, blocks: int |
     )
 
 
+PAIRS = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("score", pa.float64())])
+
+
 def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     lists = column.combine_chunks()
     values = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
@@ -51,17 +60,40 @@ def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     return np.divide(values, length, out=np.zeros_like(values), where=length > 0)
 
 
-def _scores(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Score matrix of one block pair with its row and column ids; each pair appears once."""
+def _scores(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Score matrices of one block pair with their row and column ids; each pair appears once.
+
+    A matrix has at most ``BLOCK_ROWS`` rows and columns. The last value tells whether they are the same rows.
+    """
     ids = table.column("row_id").to_numpy()
     own = table.column("own").to_numpy()
     lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
     unit = _unit_rows(table.column("vector"))
-    first, second = own == lo, own == hi
-    scores = unit[first] @ unit[second].T
-    if lo == hi:
-        scores[np.tril_indices(len(scores))] = -np.inf
-    return scores, ids[first], ids[second]
+    first, second = np.nonzero(own == lo)[0], np.nonzero(own == hi)[0]
+    for x in range(0, len(first), BLOCK_ROWS):
+        for y in range(x if lo == hi else 0, len(second), BLOCK_ROWS):
+            a, b = first[x : x + BLOCK_ROWS], second[y : y + BLOCK_ROWS]
+            same = lo == hi and x == y
+            scores = unit[a] @ unit[b].T
+            if same:
+                scores[np.tril_indices(len(scores))] = -np.inf
+            yield scores, ids[a], ids[b], same
+
+
+def _joined(parts: list[pa.Table], schema: pa.Schema) -> pa.Table:
+    return pa.concat_tables(parts) if parts else schema.empty_table()
+
+
+def _passing(table: pa.Table, threshold: float) -> pa.Table:
+    """The pairs of a block pair above ``threshold``."""
+    parts = [_pair_table(s, rows, columns, *np.nonzero(s > threshold)) for s, rows, columns, _ in _scores(table)]
+    return _joined(parts, PAIRS)
+
+
+def _links(table: pa.Table, threshold: float) -> pa.Table:
+    """The strongest links of a block pair."""
+    parts = [_pair_table(s, rows, columns, *_linked(s, same, threshold)) for s, rows, columns, same in _scores(table)]
+    return _joined(parts, PAIRS)
 
 
 def _pair_table(scores, rows, columns, x, y) -> pa.Table:
@@ -73,9 +105,13 @@ def _strongest_links(scores: np.ndarray, threshold: float) -> tuple[np.ndarray,
     """Links that keep every threshold's components of one score matrix (Boruvka rounds).
 
     Each round every component takes its best link to another one, so at most about one link per row
-    is kept, however many pairs pass the threshold.
+    is kept, however many pairs pass the threshold. Few pairs are linked as a list and not as a matrix.
     """
     rows, columns = scores.shape
+    x, y = np.nonzero(scores > threshold)
+    if len(x) <= FEW_PAIRS * (rows + columns):
+        kept = local_forest(x, rows + y, scores[x, y])
+        return x[kept], y[kept]
     left = np.where(scores > threshold, scores, -np.inf)
     label = np.arange(rows + columns)
     kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -106,6 +142,10 @@ def _linked(scores: np.ndarray, diagonal: bool, threshold: float):
     """``_strongest_links``; on a diagonal block the rows and columns are the same items."""
     if not diagonal:
         return _strongest_links(scores, threshold)
+    x, y = np.nonzero(scores > threshold)
+    if len(x) <= FEW_PAIRS * len(scores):
+        kept = local_forest(x, y, scores[x, y])
+        return x[kept], y[kept]
     full = np.maximum(scores, scores.T)
     x, y = _strongest_links(full, threshold)
     pairs = np.unique(np.sort(np.stack([x, y], axis=1), axis=1), axis=0)
@@ -122,8 +162,7 @@ def similar_pairs(
     """All pairs ``(i, j, score)`` with ``i < j`` and a cosine strictly above ``threshold``."""
 
     def block(table: pa.Table) -> pa.Table:
-        scores, rows, columns = _scores(table)
-        return _pair_table(scores, rows, columns, *np.nonzero(scores > threshold))
+        return _passing(table, threshold)
 
     cells = _block_pairs(vectors, id_col, vector_col, blocks)
     return cells.applyInArrow(block, "i long, j long, score double")
@@ -144,9 +183,7 @@ def _forest(
     """
     bounds = np.asarray(levels, dtype=float)
 
-    def block(table: pa.Table) -> pa.Table:
-        scores, rows, columns = _scores(table)
-        diagonal = table.column("lo")[0].as_py() == table.column("hi")[0].as_py()
+    def part(scores: np.ndarray, rows: np.ndarray, columns: np.ndarray, diagonal: bool) -> pa.Table:
         links = _pair_table(scores, rows, columns, *_linked(scores, diagonal, threshold))
         passing = scores[scores > threshold]
         level = np.searchsorted(bounds, passing, side="left")
@@ -168,6 +205,11 @@ def _forest(
             }
         )
 
+    names = [("level", pa.int32()), ("n", pa.int64()), *((f.name, f.type) for f in PAIRS)]
+
+    def block(table: pa.Table) -> pa.Table:
+        return _joined([part(*tile) for tile in _scores(table)], pa.schema(names))
+
     cells = _block_pairs(vectors, id_col, vector_col, blocks)
     return cells.applyInArrow(block, "level int, n long, i long, j long, score double")
 
