@@ -2,7 +2,7 @@ import itertools
 
 from support import as_set
 
-from kinfold.operators import buckets, predicates
+from kinfold.operators import buckets, linkage, predicates
 from kinfold.operators.predicates import FIRST_WORDS, MINHASH, PREFIX, Predicate
 
 
@@ -33,3 +33,27 @@ def test_words_of_a_few_large_files_are_cut_on_all_cores(spark):
     plan = predicates.rarest_words(records, "name")._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan
     assert as_set(predicates.rarest_words(records, "name")) == {(k, f"word{k % 3}") for k in range(200)}
+
+
+def test_pairs_of_several_blocks_are_made_once_and_not_shuffled(rows):
+    """Before, all pairs were shuffled to tell apart those of several blocks."""
+    data = [(k, f"a{k % 3}", f"b{k % 4}" if k % 5 else None, f"t{k % 30}") for k in range(60)]
+    records = rows(data, "record_id long, x string, y string, text string")
+    got = linkage.block_pairs(records, [("x",), ("y",)])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    posted = rows([(1, "t", 2), (2, "t", 2)], "row_id long, term string, size long")
+    assert "Aggregate [i#" in plan(buckets.bucket_pairs(posted)) and "Aggregate [i#" not in plan(got)
+    pairs = [tuple(r) for r in got.collect()]
+    assert len(pairs) == len({*pairs})
+    firsts = {r[1:]: r[0] for r in reversed(data)}
+    want = {(firsts[r[1:]], r[0]) for r in data if firsts[r[1:]] != r[0]}
+    met = itertools.combinations([r for r in data if firsts[r[1:]] == r[0]], 2)
+    want |= {(a[0], b[0]) for a, b in met if a[1] == b[1] or (a[2] is not None and a[2] == b[2])}
+    assert {*pairs} == want
+
+
+def test_pairs_of_repeated_ids_are_distinct(rows):
+    data = [(1, "a", "b", "u"), (1, "a", "c", "v"), (2, "a", "b", "w"), (3, "d", "c", "x")]
+    records = rows(data, "record_id long, x string, y string, text string")
+    got = [tuple(r) for r in linkage.block_pairs(records, [("x",), ("y",)]).collect()]
+    assert sorted(got) == [(1, 2), (1, 3)]
